@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from tokenloom.llm import decontam
+from tokenloom.llm import decontam, lines, quality
 
 MODULES = {
+    "op4_line_frequency": lines,
+    "op8_quality_ftrl": quality,
     "op10_decontam_suffix_array": decontam,
 }
 

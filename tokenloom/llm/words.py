@@ -122,18 +122,25 @@ class Batch:
         return [self.data[s:e].tobytes() for s, e in zip(self.starts[lo:hi], self.ends[lo:hi])]
 
 
+#: Runs of letters and digits (1) and runs of other characters (2), for lower-cased text.
+SHAPES = NOT_BLANK * np.uint8(2)
+SHAPES[ALNUM] = 1
+
+
 def split(texts: list[bytes | None], lower: bool = True, inside: np.ndarray = NOT_BLANK) -> Batch:
-    """Splits texts (None: empty) into words of the bytes that `inside` marks."""
+    """Splits texts (None: empty) into runs of bytes that `inside` gives the same value, other than 0."""
     texts = [x or b"" for x in texts]
-    data = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
+    data = np.frombuffer(b"\n".join([*texts, b""]), dtype=np.uint8)
     text_at = np.zeros(len(texts) + 1, dtype=np.int64)
     np.cumsum([len(x) + 1 for x in texts], out=text_at[1:])
     if lower:
         data = _LOWER[data]
-    mark = np.zeros(len(data) + 1, dtype=np.int8)
-    mark[1:] = inside[data]
-    step = np.flatnonzero(mark[1:] != mark[:-1])  # a separator ends the data
-    starts, ends = step[0::2], step[1::2]
+    kind = inside.astype(np.int8)[data]
+    step = np.flatnonzero(kind[1:] != kind[:-1]) + 1
+    step = np.concatenate([np.zeros(min(len(data), 1), np.int64), step])
+    some = kind[step] != 0  # a newline, of kind 0, ends the data
+    starts = step[some]
+    ends = step[np.flatnonzero(some) + 1]
     return Batch(data, text_at, starts, ends, np.searchsorted(starts, text_at))
 
 
