@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from tokenloom.llm import decontam, lines, quality
+from tokenloom.llm import decontam, lines, pii, quality, tokens
 
 MODULES = {
+    "op2_separator_scan": tokens,
     "op4_line_frequency": lines,
+    "op5_pii_weak_supervision": pii,
     "op8_quality_ftrl": quality,
     "op10_decontam_suffix_array": decontam,
 }
