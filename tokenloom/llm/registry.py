@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tokenloom.llm import decontam, lines, pii, quality, tokens
+from tokenloom.llm import decontam, lines, neardup, pii, quality, tokens
 
 MODULES = {
     "op2_separator_scan": tokens,
     "op4_line_frequency": lines,
     "op5_pii_weak_supervision": pii,
     "op8_quality_ftrl": quality,
+    "op9_chosen_path_join": neardup,
     "op10_decontam_suffix_array": decontam,
 }
 
