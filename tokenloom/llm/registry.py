@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tokenloom.llm import decontam, lines, neardup, pii, quality, tokens
+from tokenloom.llm import decontam, lines, lm, neardup, pii, quality, tokens
 
 MODULES = {
     "op2_separator_scan": tokens,
+    "op3_deleted_interpolation": lm,
     "op4_line_frequency": lines,
     "op5_pii_weak_supervision": pii,
     "op8_quality_ftrl": quality,
