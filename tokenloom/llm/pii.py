@@ -10,6 +10,7 @@ the strict patterns alone don't settle.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 
 import numpy as np
@@ -198,7 +199,6 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     ignored.  What is collected is one count per pattern of votes and shape, of which
     there are at most 4 * 3**5 * 50.
     """
-    spark = docs.sparkSession
     found = stored(candidates(docs, id_col, text_col), "pii")
     counts = found.select(F.explode("spans").alias("s")).groupBy("s.kind", "s.votes", "s.shape").count()
     rows = [(r["kind"], r["votes"], r["shape"], r["count"]) for r in counts.collect()]
@@ -206,10 +206,9 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     weights = train_classifier(rows, posterior)
     keys = sorted((k, v, s) for k, v, s, _ in rows)
     scores = {k: 1 / (1 + np.exp(-sum(weights[c] for c in _columns(*k)))) for k in keys}
-    table_ = spark.createDataFrame([("|".join(k), float(p)) for k, p in scores.items()] or [("", 0.0)], "k string, p double")
-    by = F.broadcast(table_.agg(F.map_from_entries(F.collect_list(F.struct("k", "p"))).alias("__scores__")))
-    scored = F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["strict"].alias("strict"), F.element_at("__scores__", F.concat_ws("|", s["kind"], s["votes"], s["shape"])).alias("score")))
-    out = found.crossJoin(by).select(id_col, scored.alias("spans"))  # one row on the other side
+    known = F.from_json(F.lit(json.dumps({"|".join(k): float(p) for k, p in scores.items()})), "map<string,double>")
+    scored = F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["strict"].alias("strict"), F.element_at(known, F.concat_ws("|", s["kind"], s["votes"], s["shape"])).alias("score")))
+    out = found.select(id_col, scored.alias("spans"))
     kept = F.filter("spans", lambda s: s["strict"] | (s["score"] >= min_score))
     rank = F.create_map(*(F.lit(x) for k, kind in enumerate(KINDS) for x in (kind, k)))
     ordered = F.array_sort(F.transform(kept, lambda s: F.struct(F.element_at(rank, s["kind"]).alias("rank"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["strict"].alias("strict"), s["score"].alias("score"))))

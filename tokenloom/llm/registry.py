@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tokenloom.llm import decontam, lines, lm, neardup, pii, quality, tokens
+from tokenloom.llm import chat, decontam, lines, lm, neardup, pii, quality, tokens
 
 MODULES = {
+    "op1_chat_windows": chat,
     "op2_separator_scan": tokens,
     "op3_deleted_interpolation": lm,
     "op4_line_frequency": lines,
