@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm.words import batches
 
 #: sha256 of nothing, in hex.
 EMPTY_SHA256 = hashlib.sha256(b"").hexdigest()
@@ -30,10 +32,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
-    """Writes df to the shared folder as Parquet and reads it back: lost executors cost no recomputation."""
-    path = f"{shared_dir(df.sparkSession)}/tokenloom-{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Writes df to the shared folder as Parquet and reads it back: lost executors cost no recomputation.
+
+    While it runs, Python gets rows in batches of a thousand at most, as texts may be long.
+    """
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    path = f"{shared_dir(spark)}/tokenloom-{what}-{uuid.uuid4().hex}"
+    before = spark.conf.get(key)
+    spark.conf.set(key, min(int(before), 1000) if int(before) > 0 else 1000)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def removed(df_or_path: DataFrame | str, spark: SparkSession | None = None) -> None:
@@ -50,6 +61,26 @@ def removed(df_or_path: DataFrame | str, spark: SparkSession | None = None) -> N
             at.getFileSystem(conf).delete(at, True)
 
 
+def trimmed() -> None:
+    """Hands memory that Python no longer uses back to the system, as workers are kept for later tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # only glibc has it
+        pass
+
+
+def slices(rb: pa.RecordBatch, text: int, most: int) -> Iterator[tuple[int, int, list[bytes | None]]]:
+    """(lo, hi, texts) of runs of rows with about `most` bytes of the binary column `text`, one row at least."""
+    col = rb.column(text)
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    lo = 0
+    while lo < len(sizes):
+        hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + most, side="right")))
+        yield lo, hi, col.slice(lo, hi - lo).to_pylist()
+        lo = hi
+
+
 def crc_of(col: str) -> Column:
     """crc32 of an id written as text."""
     return F.crc32(F.col(col).cast("string").cast("binary"))
@@ -62,7 +93,7 @@ def map_texts(
     id_col: str = "doc_id",
     text_col: str = "text",
     keep: dict[str, Column] | None = None,
-    most: int = 4_000_000,
+    most: int = 2_000_000,
 ) -> DataFrame:
     """The id column (and the columns of keep) beside what fn makes of the texts.
 
@@ -78,9 +109,9 @@ def map_texts(
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in it:
-            texts = rb.column(n).to_pylist()
-            for lo, hi in batches(texts, most):
-                own = [x if isinstance(x, pa.Array) else pa.array(x) for x in fn(texts[lo:hi])]
+            for lo, hi, texts in slices(rb, n, most):
+                own = [x if isinstance(x, pa.Array) else pa.array(x) for x in fn(texts)]
                 yield pa.RecordBatch.from_arrays([*(rb.column(k).slice(lo, hi - lo) for k in range(n)), *own], names)
+        trimmed()
 
     return source.mapInArrow(run, schema)

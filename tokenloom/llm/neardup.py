@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import map_texts, stored, table
+from tokenloom.llm.common import map_texts, stored, table, trimmed
 from tokenloom.llm.words import mix, split, windows
 from tokenloom.operators.components import connected_components
 
@@ -92,15 +92,16 @@ def _branched(rows: DataFrame, levels: int, trees: int = 0) -> DataFrame:
     def run(it):
         for rb in it:
             cls = rb.column(0).to_numpy()
-            for lo in range(0, len(cls), 4096):
-                own = cls[lo : lo + 4096]
-                mins = np.frombuffer(b"".join(rb.column(1).slice(lo, 4096).to_pylist()), "<u4").reshape(len(own), TOKENS)
+            for lo in range(0, len(cls), 1024):
+                own = cls[lo : lo + 1024]
+                mins = np.frombuffer(b"".join(rb.column(1).slice(lo, 1024).to_pylist()), "<u4").reshape(len(own), TOKENS)
                 if trees:
                     keys, row = np.repeat(mix(np.arange(1, trees + 1, dtype=np.uint64)), len(own)), np.tile(np.arange(len(own)), trees)
                 else:
-                    keys, row = rb.column(2).slice(lo, 4096).to_numpy().view(np.uint64), np.arange(len(own))
+                    keys, row = rb.column(2).slice(lo, 1024).to_numpy().view(np.uint64), np.arange(len(own))
                 keys, row = branch(keys, row, mins, levels)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(own[row])], ["node", "cls"])
+        trimmed()
 
     return rows.mapInArrow(run, "node bigint, cls bigint")
 
@@ -155,6 +156,7 @@ def _compared(members: DataFrame, percent: int) -> DataFrame:
                 sets.append(np.frombuffer(s.as_buffer(), "<u8").copy())
             yield _pairs(out)
         yield _pairs(links(cls, sets) if cls else [])
+        trimmed()
 
     return members.repartition("gid").sortWithinPartitions("gid", "cls").mapInArrow(run, "x bigint, y bigint")
 
