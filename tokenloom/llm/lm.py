@@ -19,8 +19,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import crc_of, stored, table
-from tokenloom.llm.words import batches, mix, split
+from tokenloom.llm.common import crc_of, slices, stored, table, trimmed
+from tokenloom.llm.words import mix, split
 
 _U = np.uint64
 #: Stand for the end of a text and for what is before its first word.
@@ -61,14 +61,14 @@ def _chunks(docs: DataFrame, held, id_col: str, text_col: str, most: int) -> Dat
     def run(it):
         serial = TaskContext.get().partitionId() << 32
         for rb in it:
-            texts = rb.column(2).to_pylist()
-            for lo, hi in batches(texts, most):
-                b = split(texts[lo:hi])
+            for lo, hi, texts in slices(rb, 2, most):
+                b = split(texts)
                 h = np.insert(b.hashes(), b.first[1:], _END)
                 words, tokens = np.unique(h, return_inverse=True)
                 row = [[serial], [rb.column(0).slice(lo, hi - lo).to_pylist()], [rb.column(1).slice(lo, hi - lo).to_pylist()], [(b.counts + 1).tolist()], [_sorted_packed(words)], [packed(tokens)], [len(h)]]
                 serial += 1
                 yield pa.RecordBatch.from_pydict({k: pa.array(v, type=t) for (k, t), v in zip(types, row)})
+        trimmed()
 
     schema = docs.sparkSession.createDataFrame([], fields).schema
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -90,7 +90,8 @@ def _requests(chunks: DataFrame, shard_bits: int, bits: int) -> DataFrame:
 
     def run(it):
         for rb in it:
-            for chunk, held, n, words, tokens in zip(*(rb.column(k).to_pylist() for k in range(5))):
+            for i in range(rb.num_rows):
+                chunk, held, n, words, tokens = (rb.column(k)[i].as_py() for k in range(5))
                 n = np.array(n)
                 words, tokens = _sorted_unpacked(words), unpacked(tokens).astype(np.int64)
                 learn = np.repeat(~np.array(held), n)
@@ -101,6 +102,8 @@ def _requests(chunks: DataFrame, shard_bits: int, bits: int) -> DataFrame:
                     cut = np.searchsorted(keys, np.arange(1, 1 << shard_bits, dtype=np.uint64) << _U(width - shard_bits)) if shard_bits else []
                     out += [(kind, s, chunk, _sorted_packed(k), packed(c)) for s, (k, c) in enumerate(zip(np.split(keys, cut), np.split(counts, cut))) if len(k)]
                 yield pa.RecordBatch.from_pydict(dict(zip(("kind", "shard", "chunk", "keys", "counts"), (pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))))))
+                del words, tokens, pairs, own, at, out
+        trimmed()
 
     return chunks.select("chunk", "held", "n", "words", "tokens").mapInArrow(run, "kind int, shard bigint, chunk bigint, keys binary, counts binary")
 
@@ -134,6 +137,8 @@ def _answers(requests: DataFrame, parts: int) -> DataFrame:
                     at, asked = (kind, shard), []
                 asked.append((chunk, keys, counts))
         yield batch(added(*at, asked) if asked else [])
+        del asked
+        trimmed()
 
     dealt = requests.repartition(parts, "kind", "shard").sortWithinPartitions("kind", "shard", "chunk")
     return dealt.mapInArrow(run, "kind int, shard bigint, chunk bigint, totals binary, n bigint, v bigint")
@@ -185,7 +190,9 @@ def _counted(chunks: DataFrame, answers: DataFrame, bits: int, big_n: int, start
                 cell = (_bucket(ctx) * _GRID2 + _grid(p2, _GRID2)) * _GRID1 + _grid(p1, _GRID1)
                 cells, k = np.unique(cell, return_counts=True)
                 row = {"ids": ids, "held": held, "n": n, "tokens": tokens, "counts": packed(counts), "pairs": packed(pairs), "cells": [{"cell": c, "n": m} for c, m in zip(cells.tolist(), k.tolist())]}
+                del words, t, counts, at, pairs, ctx, c2, c1, p2, p1, cell, a
                 yield pa.RecordBatch.from_pydict({k: pa.array([v], type=types[k]) for k, v in row.items()})
+        trimmed()
 
     return joined.mapInArrow(run, schema)
 
@@ -207,7 +214,7 @@ def mixture(cells: np.ndarray, n: np.ndarray, v: int, rounds: int = 60) -> np.nd
     return w
 
 
-def score(docs: DataFrame, held_out: int = 1, folds: int = 5, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 16_000_000, shard_tokens: int = 1_500_000) -> DataFrame:
+def score(docs: DataFrame, held_out: int = 1, folds: int = 5, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 8_000_000, shard_tokens: int = 1_000_000) -> DataFrame:
     """Log10 probabilities of each row's text under a model of the rows that aren't held out.
 
     Words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased, then one end that counts as a
@@ -259,6 +266,7 @@ def score(docs: DataFrame, held_out: int = 1, folds: int = 5, id_col: str = "doc
                     pa.array(ids, type=kind), pa.array(held_, pa.bool_()), pa.array(n), pa.array(np.add.reduceat((c1 > 0).astype(np.int64), at)),
                     pa.array(np.full(len(n), big_n, np.int64)), pa.array(np.add.reduceat(base, at)), pa.array(np.add.reduceat(np.log10(p), at)),
                 ], id_type.fieldNames())
+        trimmed()
 
     return counted.select("ids", "held", "n", "tokens", "counts", "pairs").mapInArrow(run, id_type)
 
