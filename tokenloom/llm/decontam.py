@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import EMPTY_SHA256, stored, table
+from tokenloom.llm.common import EMPTY_SHA256, slices, stored, table, trimmed
 from tokenloom.llm.words import ALNUM, Batch, batches, mix, split
 
 _U = np.uint64
@@ -217,10 +217,9 @@ def _pass(df: DataFrame, keep: list[str], items: list[tuple[str, str | None]], w
 
         fields = to_arrow_schema(schema)
         for rb in it:
-            texts = rb.column(n).to_pylist()
-            for lo, hi in batches(texts, 6_000_000):
+            for lo, hi, texts in slices(rb, n, 4_000_000):
                 part = rb.slice(lo, hi - lo)
-                b = split(texts[lo:hi], inside=ALNUM)
+                b = split(texts, inside=ALNUM)
                 state = {k: part.column(n + 1 + j).to_pylist() for j, k in enumerate(names[n + 1 :])}
                 state["n_words"] = b.counts.tolist()
                 for i, spans, items_, length, at, item in find(b, test.value):
@@ -230,6 +229,7 @@ def _pass(df: DataFrame, keep: list[str], items: list[tuple[str, str | None]], w
                         state["longest"][i], state["longest_at"][i], state["longest_item"][i] = length, at, item
                 own = [pa.array(v, type=fields.field(k).type) for k, v in state.items()]
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(n + 1)), *own], names)
+        trimmed()
 
     return df.mapInArrow(run, schema)
 
@@ -287,7 +287,7 @@ def touches(df: DataFrame, items: list[tuple[str, str | None]], window: int, tex
     def hit(text: pa.Array) -> pa.Array:
         texts = text.to_pylist()
         out = np.zeros(len(texts), bool)
-        for lo, hi in batches(texts, 6_000_000):
+        for lo, hi in batches(texts, 4_000_000):
             for found in find(split(texts[lo:hi], inside=ALNUM), test.value):
                 out[lo + found[0]] = True
         return pa.array(out)

@@ -12,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import map_texts, stored, table
-from tokenloom.llm.words import _BASE, _LOWER, Batch, batches, hash_ranges, mix, split, windows
+from tokenloom.llm.common import map_texts, slices, stored, table, trimmed
+from tokenloom.llm.words import _BASE, _LOWER, Batch, hash_ranges, mix, split, windows
 
 _U = np.uint64
 _SYMBOLS = np.zeros(256, bool)
@@ -107,9 +107,9 @@ def common_lines(docs: DataFrame, host_col: str = "source", text_col: str = "tex
 
     def count(it):
         for rb in it:
-            hosts, texts = _hosts(rb.column(0).to_pylist()) if len(rb) else [], rb.column(1).to_pylist()
-            for lo, hi in batches(texts, 12_000_000):
-                b = split(texts[lo:hi], lower=False)
+            hosts = _hosts(rb.column(0).to_pylist()) if len(rb) else []
+            for lo, hi, texts in slices(rb, 1, 6_000_000):
+                b = split(texts, lower=False)
                 doc, _, _, first, n = lines_of(b)
                 line = normalised(b, first, n)
                 once = np.unique(mix(line + mix(doc.astype(np.uint64))), return_index=True)[1]
@@ -118,6 +118,7 @@ def common_lines(docs: DataFrame, host_col: str = "source", text_col: str = "tex
                 own, n_own = np.unique(hosts[lo:hi], return_counts=True)
                 # Line 0 stands for the host's documents themselves.
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([own, host[at]]).view(np.int64)), pa.array(np.concatenate([np.zeros(len(own), np.uint64), line[at]]).view(np.int64)), pa.array(np.concatenate([n_own, docs_]))], ["host", "line", "docs"])
+        trimmed()
 
     counts = source.mapInArrow(count, "host bigint, line bigint, docs bigint").groupBy("host", "line").agg(F.sum("docs").alias("docs")).where(F.col("docs") > min_docs)
     counts = stored(counts, "lines")
@@ -177,17 +178,18 @@ def _removal(df: DataFrame, keys) -> DataFrame:
     def run(it):
         top = keys.value
         for rb in it:
-            hosts, texts = _hosts(rb.column(1).to_pylist()) if len(rb) else [], rb.column(2).to_pylist()
-            for lo, hi in batches(texts):
+            hosts = _hosts(rb.column(1).to_pylist()) if len(rb) else []
+            for lo, hi, texts in slices(rb, 2, 2_000_000):
                 part = rb.slice(lo, hi - lo)
                 gone = part.column(3).to_numpy().copy()
                 if len(top):
-                    b = split(texts[lo:hi], lower=False)
+                    b = split(texts, lower=False)
                     doc, _, _, first, n = lines_of(b)
                     key = _host_line(hosts[lo:hi][doc], normalised(b, first, n))
                     hit = top[np.minimum(np.searchsorted(top, key), len(top) - 1)] == key
                     gone = gone + np.bincount(doc[hit], weights=n[hit], minlength=b.n_docs).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(3)), pa.array(gone)], names)
+        trimmed()
 
     return df.mapInArrow(run, df.schema)
 

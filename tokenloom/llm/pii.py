@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import stored, table
+from tokenloom.llm.common import slices, stored, table, trimmed
 
 KINDS = ("email", "ip", "card", "phone")
 LABELERS = ("pattern", "checksum", "gazetteer", "context", "border")
@@ -181,8 +181,10 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def run(it):
         for rb in it:
-            spans = pa.array([[dict(zip(("kind", "start", "end", "strict", "votes", "shape"), x)) for x in of(raw)] for raw in rb.column(1).to_pylist()], type=kind)
-            yield pa.RecordBatch.from_arrays([rb.column(0), spans], [id_col, "spans"])
+            for lo, hi, texts in slices(rb, 1, 4_000_000):
+                spans = pa.array([[dict(zip(("kind", "start", "end", "strict", "votes", "shape"), x)) for x in of(raw)] for raw in texts], type=kind)
+                yield pa.RecordBatch.from_arrays([rb.column(0).slice(lo, hi - lo), spans], [id_col, "spans"])
+        trimmed()
 
     source = docs.select(F.col(id_col), F.col(text_col).cast("binary"))
     schema = docs.sparkSession.createDataFrame([], f"spans {_SPAN}").schema

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tokenloom.llm import chat, decontam, lines, lm, neardup, pii, quality, secrets, tokens
+from tokenloom.llm import chat, decontam, lines, lm, mixing, neardup, pii, quality, secrets, tokens
 
 MODULES = {
     "op1_chat_windows": chat,
@@ -10,6 +10,7 @@ MODULES = {
     "op3_deleted_interpolation": lm,
     "op4_line_frequency": lines,
     "op5_pii_weak_supervision": pii,
+    "op6_soft_mixing": mixing,
     "op7_randomness_battery": secrets,
     "op8_quality_ftrl": quality,
     "op9_chosen_path_join": neardup,

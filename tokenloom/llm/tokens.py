@@ -16,8 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import shared_dir, table
-from tokenloom.llm.words import batches
+from tokenloom.llm.common import shared_dir, slices, table, trimmed
 
 #: Fixed value: the public splitting pattern of the byte-level BPE vocabularies.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
@@ -60,10 +59,10 @@ def encoded(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id
     def run(it):
         enc = own.setdefault(0, _encoder(ranks.value))
         for rb in it:
-            ids, texts = rb.column(0).to_pylist(), rb.column(1).to_pylist()
-            for lo, hi in batches(texts):
+            ids = rb.column(0).to_pylist()
+            for lo, hi, texts in slices(rb, 1, 2_000_000):
                 out = []
-                for i, t in zip(ids[lo:hi], texts[lo:hi]):
+                for i, t in zip(ids[lo:hi], texts):
                     t = (t or b"").decode("utf-8", "replace")
                     got = [x for p in pieces(t) for x in enc.encode_ordinary(p)]
                     if with_id:
@@ -73,6 +72,7 @@ def encoded(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id
                         got = head + got
                     out.append(np.array(got, dtype="<u2").tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(out, type=pa.binary())], ["tokens"])
+        trimmed()
 
     return docs.select(F.col(id_col), F.col(text_col).cast("binary")).mapInArrow(run, "tokens binary")
 
@@ -115,6 +115,7 @@ def scan(spark: SparkSession, path: str, eod: int = EOD, width: int = 2, block_t
                 rows.append((len(ids), seps, heads, ids[:head].tolist()))
             cols = list(zip(*rows)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([rb.column(0), rb.column(1), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.list_(pa.int64())), pa.array(cols[2], pa.list_(pa.list_(pa.int64()))), pa.array(cols[3], pa.list_(pa.int64()))], ["path", "block", "n", "seps", "heads", "prefix"])
+        trimmed()
 
     found = blocks.mapInArrow(search, "path string, block bigint, n bigint, seps array<bigint>, heads array<array<bigint>>, prefix array<bigint>")
     order = W.partitionBy("path").orderBy("block")
