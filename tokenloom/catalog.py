@@ -2,10 +2,705 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tokenloom.functions import tokens as T
+from tokenloom.operators import components as C
+from tokenloom.operators import connections as N
+from tokenloom.operators import counting as K
+from tokenloom.operators import intervals, metrics, partitioning, sketches, spectral, trees
+from tokenloom.operators.components import checkpointed
+from tokenloom.plans import programs
+from tokenloom.plans.views import CONNECTIONS, READS, band, components_sql, occurrences, reads, table
+from tokenloom.sources import generators
+from tokenloom.sources import records as R
+
+SIZE, LOW, HIGH, STRONG = 19, 4, 12, 20
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# What several queries begin with.
+
+
+def _band(s: SparkSession, d: str) -> DataFrame:
+    return checkpointed(K.band(K.token_totals(reads(s, d), SIZE), LOW, HIGH))
+
+
+def _occurrences(s: SparkSession, d: str) -> DataFrame:
+    return checkpointed(N.selected_occurrences(T.tokenise(reads(s, d), SIZE), _band(s, d)))
+
+
+def _edges(s: SparkSession, d: str, min_score: int = 1) -> DataFrame:
+    return N.connections(N.multiplicities(_occurrences(s, d)), min_score=min_score)
+
+
+def _members(s: SparkSession, d: str) -> DataFrame:
+    return C.components_of(_edges(s, d, STRONG))
+
+
+_OCC = f"WITH {READS}, {occurrences(SIZE)}"
+_SDK = f"{_OCC}, {band(SIZE, LOW, HIGH)}"
+_CONN = f"{_SDK}, {CONNECTIONS}, strong AS MATERIALIZED (SELECT * FROM conn WHERE score >= {STRONG})"
+_COMP = _CONN.replace("WITH ", "WITH RECURSIVE ", 1) + ", " + components_sql("strong")
+_BASES = "[A, C, G, T]"
+
+
+def _code(kmer: str, k: int) -> str:
+    return " + ".join(f"(strpos('ACGT', substr({kmer}, {i + 1}, 1)) - 1) * {4 ** (k - 1 - i)}" for i in range(k))
+
+
+def _bounds(thresholds: tuple[float, ...], value: str) -> str:
+    return "CASE " + " ".join(f"WHEN {value} < {t} THEN CAST({t} AS DOUBLE)" for t in thresholds) + " END"
+
+
+# Records and tokens.
+
+
+@query(f"""WITH {READS} SELECT category_id, count(*) AS records, CAST(min(length(sequence)) AS INTEGER) AS min_length, CAST(max(length(sequence)) AS INTEGER) AS max_length,
+  CAST(sum(length(sequence)) // count(*) AS BIGINT) AS avg_length, CAST(sum(length(sequence)) AS BIGINT) AS total_bases FROM reads GROUP BY ROLLUP (category_id)""")
+def read_stats(s, d):
+    return R.file_statistics(reads(s, d))
+
+
+@query(f"{_OCC} SELECT category_id, count(*) AS tokens, count(DISTINCT read_id) AS records, max(pos) AS last_pos, CAST(sum(pos) AS BIGINT) AS sum_pos FROM occ GROUP BY 1")
+def kmer_explode_stats(s, d):
+    per = T.tokenise(reads(s, d), SIZE).groupBy("category_id", "read_id").agg(F.count("*").alias("n"), F.max("pos").alias("last"), F.sum("pos").alias("sum"))
+    return per.groupBy("category_id").agg(F.sum("n").alias("tokens"), F.count("*").alias("records"), F.max("last").alias("last_pos"), F.sum("sum").alias("sum_pos"))
+
+
+@query(f"WITH {READS}, {occurrences(7)} SELECT kmer, reverse(translate(kmer, 'ACGT', 'TGCA')) AS other, CAST({_code('kmer', 7)} AS BIGINT) AS code, count(*) AS total FROM occ GROUP BY kmer")
+def canonical_kmers(s, d):
+    t = K.with_string(K.token_totals(reads(s, d), 7), 7)
+    return t.select("kmer", T.reverse_complement(F.col("kmer")).alias("other"), T.packed(F.col("kmer")).alias("code"), "total")
+
+
+@query(f"WITH {READS}, w AS (SELECT read_id, i, substr(sequence, i, 7) AS w FROM reads, LATERAL (SELECT unnest(range(1, length(sequence) - 5)) AS i) WHERE length(sequence) >= 7) SELECT read_id, count(*) AS windows, min(least(w, reverse(translate(w, 'ACGT', 'TGCA')))) AS first, max(least(w, reverse(translate(w, 'ACGT', 'TGCA')))) AS last FROM w GROUP BY 1")
+def canonical_expressions(s, d):
+    """The expression form of the tokeniser, without Python."""
+    w = reads(s, d).select("read_id", F.explode(T.windows(F.col("sequence"), 7)).alias("w")).select("read_id", T.canonical(F.col("w")).alias("t"))
+    return w.groupBy("read_id").agg(F.count("*").alias("windows"), F.min("t").alias("first"), F.max("t").alias("last"))
+
+
+@query(f"""WITH {READS}, {occurrences(9)}, c AS (SELECT kmer, category_id, count(*) AS n FROM occ GROUP BY 1, 2)
+SELECT kmer, {", ".join(f"CAST(coalesce(sum(n) FILTER (category_id = {k}), 0) AS BIGINT) AS c{k}" for k in range(4))}, CAST(sum(n) AS BIGINT) AS total, count(*) AS categories, max(n) AS most,
+  max(n) / sum(n) * 100 AS specificity, count(*) = 1 AS discriminative FROM c GROUP BY kmer""")
+def kmer_counts_by_category(s, d):
+    v = K.with_string(K.count_vectors(K.counts_by_category(reads(s, d), 9), [0, 1, 2, 3]), 9)
+    return v.withColumn("specificity", T.specificity(F.col("most"), F.col("total"))).withColumn("discriminative", K.is_discriminative(F.col("categories")))
+
+
+@query(f"{_OCC}, t AS (SELECT kmer, count(*) AS n FROM occ GROUP BY 1) SELECT n AS occurrence, count(*) AS unique_kmers FROM t GROUP BY 1 HAVING count(*) > 100")
+def kmer_histogram(s, d):
+    return K.histogram(K.token_totals(reads(s, d), SIZE))
+
+
+def _cube_sql(thresholds: tuple[float, ...], more: str = "") -> str:
+    return f"""{_OCC}, c AS (SELECT kmer, category_id, count(*) AS n FROM occ GROUP BY 1, 2), t AS (SELECT kmer, sum(n) AS total, max(n) AS most FROM c GROUP BY 1 {more})
+SELECT {_bounds(thresholds, "most / total * 100")} AS upper_bound, CAST(total AS BIGINT) AS occurrences, count(*) AS unique_kmers FROM t GROUP BY 1, 2"""
+
+
+@query(_cube_sql(K.EXACT_THRESHOLDS))
+def specificity_cube(s, d):
+    return K.specificity_cube(K.counts_by_category(reads(s, d), SIZE))
+
+
+@query(_cube_sql(K.SKETCH_THRESHOLDS, "HAVING sum(n) > 1"))
+def specificity_cube_pooled(s, d):
+    return K.specificity_cube(K.non_singletons(checkpointed(K.counts_by_category(reads(s, d), SIZE))), K.SKETCH_THRESHOLDS)
+
+
+_KS = (11, 13, 15, 17)
+_BY_K = f"WITH {READS}, " + ", ".join(occurrences(k, f"o{k}") for k in _KS) + ", n AS (" + " UNION ALL ".join(f"SELECT {k} AS k, count(DISTINCT kmer) AS distinct_kmers FROM o{k}" for k in _KS) + ")"
+
+
+@query(f"{_BY_K} SELECT * FROM n")
+def distinct_kmers_by_k(s, d):
+    return K.distinct_by_k(reads(s, d), list(_KS))
+
+
+@query(f"""{_BY_K}, p AS (SELECT *, abs(lead(distinct_kmers) OVER (ORDER BY k) - distinct_kmers) / ((lead(distinct_kmers) OVER (ORDER BY k) + distinct_kmers) / 2) AS step FROM n)
+SELECT k, distinct_kmers, round(step, 9) AS step FROM p WHERE step < 0.1 ORDER BY k LIMIT 1""")
+def unique_k_choice(s, d):
+    return K.choose_k(K.distinct_by_k(reads(s, d), list(_KS))).withColumn("step", F.round("step", 9))
+
+
+@query(f"""{_OCC}, c AS (SELECT kmer, category_id, count(*) AS n FROM occ GROUP BY 1, 2), t AS (SELECT kmer, sum(n) AS total FROM c GROUP BY 1)
+SELECT 'none' AS scope, count(*) AS rows_left, CAST(sum(n) AS BIGINT) AS occurrences FROM c
+UNION ALL SELECT 'per_category', count(*), CAST(sum(n) AS BIGINT) FROM c WHERE n > 1
+UNION ALL SELECT 'pooled', count(*), CAST(sum(n) AS BIGINT) FROM c JOIN t USING (kmer) WHERE total > 1""")
+def non_singleton_kmers(s, d):
+    c = checkpointed(K.counts_by_category(reads(s, d), SIZE))
+    one = lambda scope: K.non_singletons(c, scope).agg(F.lit(scope).alias("scope"), F.count("*").alias("rows_left"), F.sum("cnt").alias("occurrences"))
+    return one("none").union(one("per_category")).union(one("pooled"))
+
+
+@query(f"{_SDK} SELECT kmer, count(*) AS total, count(DISTINCT category_id) AS categories, count(DISTINCT category_id) = 1 AS discriminative FROM sdk_occ GROUP BY 1")
+def sdk_band(s, d):
+    t = K.band(K.summed(K.counts_by_category(reads(s, d), SIZE)), LOW, HIGH)
+    return K.with_string(t, SIZE).select("kmer", "total", "categories", K.is_discriminative(F.col("categories")).alias("discriminative"))
+
+
+@query(f"{_SDK} SELECT kmer, total FROM sdk WHERE ((({_code('kmer', SIZE)}) % 1000003) * 7919 + 104729) % 1000003 / 1000003 < 0.25")
+def kmer_sample(s, d):
+    return K.with_string(K.sampled(K.band(K.token_totals(reads(s, d), SIZE), LOW, HIGH), 0.25), SIZE).select("kmer", "total")
+
+
+@query(f"{_SDK}, t AS (SELECT kmer, count(DISTINCT category_id) AS n FROM sdk_occ GROUP BY 1) SELECT count(*) AS tokens, count(*) FILTER (n = 1) AS pure FROM t")
+def sdk_purity(s, d):
+    return K.purity(_occurrences(s, d))
+
+
+_Q = 15
+
+
+@query(f"""WITH {READS}, c AS (SELECT read_id, i, ascii(substr(qualities, i, 1)) AS q FROM reads, LATERAL (SELECT unnest(range(1, length(qualities) + 1)) AS i)),
+w AS (SELECT read_id, i, min(q) OVER o AS low, sum(q) OVER o // {_Q} AS mean FROM c WINDOW o AS (PARTITION BY read_id ORDER BY i ROWS BETWEEN {_Q - 1} PRECEDING AND CURRENT ROW))
+SELECT read_id, count(*) AS windows, CAST(min(low) AS INTEGER) AS lowest, CAST(sum(low) AS BIGINT) AS sum_low, CAST(sum(mean) AS BIGINT) AS sum_mean,
+  count(*) FILTER (low < 66 OR mean < 74) AS below, count(*) FILTER (low > 65 AND mean > 76) AS above FROM w WHERE i >= {_Q} GROUP BY 1""")
+def kmer_quality_windows(s, d):
+    w = T.quality_rows(reads(s, d, with_qualities=True), _Q)
+    pair = lambda low, mean: {"low": F.lit(low), "mean": F.lit(mean)}
+    own = {"low": F.col("low"), "mean": F.col("mean")}
+    below, above = T.quality_below(own, pair(66, 74)), T.quality_above(own, pair(65, 76))
+    return w.groupBy("read_id").agg(F.count("*").alias("windows"), F.min("low").alias("lowest"), F.sum("low").alias("sum_low"), F.sum("mean").alias("sum_mean"), F.count(F.when(below, 1)).alias("below"), F.count(F.when(above, 1)).alias("above"))
+
+
+# Sources and renderings.
+
+_HEADERS = """h AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'r;length=' || n_chars || 'bp;startpos=' || (doc_id % 7) || ';x'
+  WHEN 1 THEN 'g_' || doc_id || '_aligned_1_F_2_' || n_chars || '_3' WHEN 2 THEN 'S_' || doc_id || '_' || (doc_id + n_chars) || '|' || (doc_id % 5) || '|' ELSE 'plain' || doc_id END AS header FROM documents)"""
+
+
+@query(f"""WITH {_HEADERS}, p AS (SELECT doc_id, header, regexp_extract(header, ';length=(\\d+)bp;startpos=(\\d+);', ['n', 's']) AS a,
+  regexp_extract(header, '_(\\d+)_[^_]+_[^_]+_[^_]+_[^_]+_(\\d+)_', ['s', 'n']) AS b, regexp_extract(header, '(\\d+)_(\\d+)\\|(\\d+)\\|', ['f', 't', 's']) AS c FROM h),
+q AS (SELECT doc_id, header, CASE WHEN c.s <> '' THEN 'pass' WHEN b.s <> '' THEN 'nanosim' WHEN a.s <> '' THEN 'simlord' END AS form,
+  TRY_CAST(CASE WHEN c.s <> '' THEN c.s WHEN b.s <> '' THEN b.s WHEN a.s <> '' THEN a.s ELSE '0' END AS BIGINT) AS start,
+  CASE WHEN c.s <> '' THEN TRY_CAST(c.t AS BIGINT) - TRY_CAST(c.f AS BIGINT) WHEN b.s <> '' THEN TRY_CAST(b.n AS BIGINT) WHEN a.s <> '' THEN TRY_CAST(a.n AS BIGINT) ELSE 0 END AS n FROM p)
+SELECT doc_id, header, form, start, CASE WHEN start <> 0 THEN start + n ELSE 0 END AS "end" FROM q""")
+def header_parse(s, d):
+    i, n = F.col("doc_id"), F.col("n_chars")
+    forms = (F.concat(F.lit("r;length="), n, F.lit("bp;startpos="), i % 7, F.lit(";x")), F.concat(F.lit("g_"), i, F.lit("_aligned_1_F_2_"), n, F.lit("_3")), F.concat(F.lit("S_"), i, F.lit("_"), i + n, F.lit("|"), i % 5, F.lit("|")), F.concat(F.lit("plain"), i))
+    header = F.element_at(F.array(*forms), (i % 4 + 1).cast("int"))
+    h = table(s, d, "documents").select("doc_id", header.alias("header"))
+    return R.with_origin(h).withColumn("form", R.header_form(F.col("header")))
+
+
+@query(f"""WITH {READS} SELECT read_id, '>' || header || chr(10) || sequence AS fasta, '@' || header || chr(10) || sequence || chr(10) || '+' || chr(10) || qualities AS fastq,
+  CASE WHEN read_id % 2 = 0 THEN '>' || header || chr(10) || sequence ELSE '@' || header || chr(10) || sequence || chr(10) || '+' || chr(10) || qualities END AS fastx FROM reads""")
+def fastx_render(s, d):
+    r = reads(s, d, with_qualities=True)
+    own = r.withColumn("fasta", R.rendered("fasta")).withColumn("fastq", R.rendered("fastq"))
+    return own.withColumn("qualities", F.when(F.col("read_id") % 2 == 0, "").otherwise(F.col("qualities"))).select("read_id", "fasta", "fastq", R.rendered("fastx").alias("fastx"))
+
+
+@query("SELECT page_id, regexp_extract(url, '([^/\\\\]*)$', 1) AS name FROM pages")
+def file_basename(s, d):
+    return table(s, d, "pages").select("page_id", T.basename(F.col("url")).alias("name"))
+
+
+@query(f"WITH {READS}, {occurrences(5)} SELECT kmer, count(*) AS cnt FROM occ GROUP BY 1")
+def count_lines(s, d):
+    """Counts written as lines and parsed again."""
+    c = K.with_string(K.token_totals(reads(s, d), 5), 5)
+    return R.parse_counts(c.select(F.concat_ws(" ", "kmer", F.col("total").cast("string")).alias("value")))
+
+
+@query(f"WITH {READS} SELECT DISTINCT least(w, reverse(translate(w, 'ACGT', 'TGCA'))) AS kmer FROM (SELECT substr(sequence, 1, 11) AS w FROM reads WHERE length(sequence) >= 11)")
+def token_list(s, d):
+    """Tokens given as strings on either strand, each once in canonical form."""
+    return reads(s, d).where(F.length("sequence") >= 11).select(T.canonical(F.substring("sequence", 1, 11)).alias("kmer")).distinct()
+
+
+@query(f"WITH {READS} SELECT read_id, header, sequence FROM reads WHERE strpos(sequence, 'N') = 0 AND ((read_id % 1000003) * 7919 + 104729) % 1000003 / 1000003 < least(1.0, 250.0 / (SELECT count(*) FROM reads))")
+def read_subsample(s, d):
+    return R.subsampled(reads(s, d), 250).select("read_id", "header", "sequence")
+
+
+# Connections.
+
+
+@query(f"{_SDK} SELECT read_id, count(*) AS occurrences, count(DISTINCT kmer) AS tokens FROM sdk_occ GROUP BY 1")
+def read_sdk_counts(s, d):
+    return N.multiplicities(_occurrences(s, d)).groupBy("read_id").agg(F.sum("m").alias("occurrences"), F.count("*").alias("tokens"))
+
+
+@query(f"{_SDK} SELECT read_id, kmer, min(pos) AS pos FROM sdk_occ GROUP BY 1, 2")
+def sdk_first_positions(s, d):
+    return K.with_string(N.first_positions(_occurrences(s, d)), SIZE)
+
+
+@query(f"{_CONN} SELECT x, y, score FROM conn")
+def connections(s, d):
+    return _edges(s, d).select("x", "y", "score")
+
+
+@query(f"{_CONN}, p AS (SELECT read_id FROM sdk_occ GROUP BY 1 HAVING count(*) >= {STRONG}) SELECT x, y, score FROM conn JOIN p ON p.read_id = x WHERE score > {STRONG}")
+def connections_threshold(s, d):
+    occ = _occurrences(s, d)
+    return N.above(N.one_sided(N.multiplicities(occ), N.strong_pivots(occ, STRONG), min_score=STRONG), STRONG)
+
+
+@query(f"{_CONN}, r AS (SELECT *, row_number() OVER (ORDER BY score DESC, least(x, y), greatest(x, y), x) AS k, count(*) OVER () AS n FROM conn) SELECT x, y, score FROM r WHERE k <= floor(n * 0.15)")
+def connections_top_fraction(s, d):
+    return N.top_fraction(checkpointed(_edges(s, d))).select("x", "y", "score")
+
+
+_GOOD = f"{_CONN}, g AS (SELECT conn.*, a.category_id = b.category_id AS is_good FROM conn JOIN reads a ON a.read_id = x JOIN reads b ON b.read_id = y)"
+
+
+@query(f"{_GOOD} SELECT score, count(*) FILTER (is_good) AS good, count(*) FILTER (NOT is_good) AS bad, count(*) FILTER (is_good) / count(*) AS ratio FROM g GROUP BY 1")
+def connection_quality_histogram(s, d):
+    return N.quality_histogram(N.with_quality(_edges(s, d), reads(s, d)))
+
+
+@query(f"{_CONN}, r AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY score DESC, x) AS k FROM conn) SELECT y, x, score FROM r WHERE k = 1")
+def best_connection_per_vertex(s, d):
+    return N.best_per_vertex(_edges(s, d))
+
+
+@query(f"{_CONN}, r AS (SELECT y, max(score) AS score FROM conn GROUP BY 1) SELECT score, count(*) AS vertices FROM r GROUP BY 1")
+def best_connection_histogram(s, d):
+    return N.best_histogram(_edges(s, d))
+
+
+@query("""WITH m AS (SELECT l_orderkey AS o, l_partkey AS p, count(*) AS m FROM lineitem GROUP BY 1, 2)
+SELECT a.o AS x, b.o AS y, CAST(sum(a.m * b.m) AS BIGINT) AS score FROM m a JOIN m b ON a.p = b.p AND a.o < b.o GROUP BY 1, 2 HAVING sum(a.m * b.m) >= 2""")
+def part_cooccurrence(s, d):
+    """Orders that share parts: the same join over another table."""
+    occ = table(s, d, "lineitem").select(F.col("l_orderkey").alias("read_id"), F.col("l_partkey").alias("token"))
+    return N.pairs(N.multiplicities(occ), min_score=2)
+
+
+_SPAN_JOIN = "JOIN reads a ON a.read_id = x JOIN reads b ON b.read_id = y"
+_BY_SCORE = f"{_CONN}, o AS (SELECT score, greatest(least(a.stop, b.stop) - greatest(a.start, b.start), 0) AS overlap FROM conn {_SPAN_JOIN}), bs AS (SELECT score, overlap, count(*) AS edges FROM o WHERE overlap >= 1 GROUP BY 1, 2)"
+
+
+@query(f"{_BY_SCORE} SELECT * FROM bs")
+def overlap_by_score(s, d):
+    return N.overlap_by_score(_edges(s, d), reads(s, d))
+
+
+_BINS = metrics.geometric_bins(last=5000)
+_BINS_SQL = "CASE " + " ".join(f"WHEN score >= CAST('{low!r}' AS DOUBLE) AND score < CAST('{high!r}' AS DOUBLE) THEN {k}" for k, low, high in _BINS) + " END"
+
+
+@query(f"{_BY_SCORE}, b AS (SELECT {_BINS_SQL} AS bin, overlap, edges FROM bs) SELECT bin, CAST(sum(edges) AS BIGINT) AS edges, sum(overlap * edges) / sum(edges) AS mean_overlap, min(overlap) AS min_overlap FROM b WHERE bin IS NOT NULL GROUP BY 1")
+def overlap_bins(s, d):
+    return metrics.binned_overlaps(N.overlap_by_score(_edges(s, d), reads(s, d)), _BINS)
+
+
+_ESTIMATE = f"""{_CONN}, first AS (SELECT read_id, kmer, min(pos) AS pos FROM sdk_occ GROUP BY 1, 2),
+est AS (SELECT x, y, score, CAST(greatest(max(a.pos) - min(a.pos), max(b.pos) - min(b.pos)) AS INTEGER) AS overlap FROM strong JOIN first a ON a.read_id = x JOIN first b ON b.read_id = y AND a.kmer = b.kmer GROUP BY 1, 2, 3)"""
+
+
+def _estimates(s, d) -> DataFrame:
+    occ = _occurrences(s, d)
+    return N.overlap_estimates(N.connections(N.multiplicities(occ), min_score=STRONG), N.first_positions(occ))
+
+
+@query(f"{_ESTIMATE} SELECT * FROM est")
+def overlap_estimate(s, d):
+    return _estimates(s, d)
+
+
+@query(f"{_ESTIMATE}, r AS (SELECT overlap AS c, greatest(least(a.stop, b.stop) - greatest(a.start, b.start), 0) AS r FROM est {_SPAN_JOIN}) SELECT CAST(floor((c - r) / ((c + r) / 2) * 100) AS BIGINT) AS percent, count(*) AS pairs FROM r WHERE c + r > 0 GROUP BY 1")
+def overlap_errors(s, d):
+    r = reads(s, d)
+    ends = lambda v: r.select(F.col("read_id").alias(v), F.col("start").alias(f"s{v}"), F.col("end").alias(f"e{v}"))
+    both = _estimates(s, d).join(ends("x"), "x").join(ends("y"), "y")
+    return metrics.overlap_errors(both.select(F.col("overlap").alias("computed"), F.greatest(F.least("ex", "ey") - F.greatest("sx", "sy"), F.lit(0)).alias("real")))
+
+
+@query(f"""{_CONN}, t AS (SELECT x, y FROM conn WHERE x < y ORDER BY score DESC, x, y LIMIT 1)
+SELECT CAST(coalesce(sum(least(a.m, b.m)), 0) AS BIGINT) AS shared FROM t JOIN mult a ON a.read_id = t.x JOIN mult b ON b.read_id = t.y AND a.kmer = b.kmer""")
+def multiset_intersection(s, d):
+    mult = checkpointed(N.multiplicities(_occurrences(s, d)))
+    top = N.pairs(mult).orderBy(F.desc("score"), "x", "y").first()
+    return N.multiset_intersection(mult, top["x"], top["y"])
+
+
+_SETS = f"WITH {READS}, {occurrences(9)}, s AS (SELECT DISTINCT category_id, kmer FROM occ)"
+
+
+@query(f"{_SETS} SELECT kmer FROM s WHERE category_id = 0 EXCEPT SELECT kmer FROM s WHERE category_id = 1")
+def token_difference(s, d):
+    c = K.with_string(K.counts_by_category(reads(s, d), 9), 9)
+    return c.where("category_id = 0").select("kmer").join(c.where("category_id = 1"), "kmer", "left_anti").distinct()
+
+
+@query(f"{_SETS} SELECT kmer FROM s WHERE category_id = 0 UNION SELECT kmer FROM s WHERE category_id = 1")
+def token_union(s, d):
+    c = K.with_string(K.counts_by_category(reads(s, d), 9), 9)
+    return c.where("category_id IN (0, 1)").select("kmer").distinct()
+
+
+# Components.
+
+
+@query(f"{_COMP} SELECT component_id, read_id FROM comp")
+def connected_components(s, d):
+    return _members(s, d)
+
+
+@query(f"{_COMP} SELECT component_id, count(*) AS size FROM comp GROUP BY 1 HAVING count(*) >= 3 ORDER BY 2 DESC, 1")
+def component_sizes(s, d):
+    return C.sizes(C.at_least(_members(s, d), 3)).orderBy(F.desc("size"), "component_id")
+
+
+@query(f"""{_COMP}, c AS (SELECT component_id, category_id, count(*) AS n FROM comp JOIN reads USING (read_id) GROUP BY 1, 2)
+SELECT component_id, CAST(sum(n) AS BIGINT) AS size, max(n) AS largest, count(*) AS categories, max(n) / sum(n) AS purity FROM c GROUP BY 1""")
+def component_purity(s, d):
+    return metrics.component_purity(_members(s, d), reads(s, d))
+
+
+@query(f"{_COMP} SELECT component_id, count(DISTINCT kmer) AS tokens FROM comp JOIN sdk_occ USING (read_id) GROUP BY 1")
+def component_token_union(s, d):
+    occ = _occurrences(s, d)
+    m = C.components_of(N.connections(N.multiplicities(occ), min_score=STRONG))
+    return C.tokens_of(m, occ).groupBy("component_id").agg(F.count("*").alias("tokens"))
+
+
+_POST = f"{_COMP}, post AS (SELECT DISTINCT kmer, component_id FROM comp JOIN sdk_occ USING (read_id))"
+
+
+def _postings(s, d) -> DataFrame:
+    occ = _occurrences(s, d)
+    m = C.components_of(N.connections(N.multiplicities(occ), min_score=STRONG))
+    return checkpointed(C.tokens_of(m, occ))
+
+
+@query(f"{_POST} SELECT * FROM post WHERE component_id % 3 <> 0")
+def posting_antijoin(s, d):
+    p = _postings(s, d)
+    gone = p.where("component_id % 3 = 0").select("component_id").distinct()
+    return K.with_string(C.without_postings(p, gone), SIZE).select("kmer", "component_id")
+
+
+@query(f"{_POST}, top AS (SELECT kmer, max(component_id) AS m FROM post WHERE component_id % 3 = 0 GROUP BY 1) SELECT post.* FROM post LEFT JOIN top USING (kmer) WHERE component_id % 3 <> 0 AND (m IS NULL OR component_id < m)")
+def posting_truncation(s, d):
+    p = _postings(s, d)
+    gone = p.where("component_id % 3 = 0").select("component_id").distinct()
+    return K.with_string(C.truncated_postings(p, gone), SIZE).select("kmer", "component_id")
+
+
+@query(f"""{_COMP}, big AS (SELECT component_id FROM comp GROUP BY 1 HAVING count(*) >= 8), core AS (SELECT comp.* FROM comp JOIN big USING (component_id)),
+ct AS (SELECT DISTINCT component_id, kmer FROM core JOIN sdk_occ USING (read_id)),
+sc AS (SELECT component_id, m.read_id, sum(m.m) AS score FROM ct JOIN mult m USING (kmer) WHERE m.read_id NOT IN (SELECT read_id FROM core) GROUP BY 1, 2 HAVING sum(m.m) >= 5),
+r AS (SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY score DESC, component_id) AS k FROM sc)
+SELECT component_id, read_id FROM core UNION ALL SELECT component_id, read_id FROM r WHERE k = 1""")
+def core_assignment(s, d):
+    mult = checkpointed(N.multiplicities(_occurrences(s, d)))
+    cores = checkpointed(C.components_of(N.connections(mult, min_score=STRONG), min_size=8))
+    return C.assigned(C.core_scores(mult, cores, 5), cores)
+
+
+@query(f"{_COMP}, t AS (SELECT component_id % 7 AS target, min(component_id) AS survivor FROM comp GROUP BY 1) SELECT survivor AS component_id, read_id FROM comp JOIN t ON t.target = comp.component_id % 7")
+def merged_components(s, d):
+    m = checkpointed(_members(s, d))
+    return C.merged(m, m.select("component_id").distinct().withColumn("target", F.col("component_id") % 7))
+
+
+@query(f"{_COMP} SELECT component_id, read_id, header, sequence FROM comp JOIN reads USING (read_id)")
+def component_export_rows(s, d):
+    return R.exported_rows(_members(s, d), reads(s, d)).select("component_id", "read_id", "header", "sequence")
+
+
+_ISLANDS = """ii AS (SELECT component_id, category_id, start, stop, max(stop) OVER (PARTITION BY component_id, category_id ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM comp JOIN reads USING (read_id)),
+jj AS (SELECT *, sum(CASE WHEN before IS NULL OR start >= before THEN 1 ELSE 0 END) OVER (PARTITION BY component_id, category_id ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS island FROM ii),
+isl AS (SELECT component_id, category_id, min(start) AS start, max(stop) AS stop FROM jj GROUP BY component_id, category_id, island)"""
+
+
+def _placed(s, d) -> DataFrame:
+    return _members(s, d).join(reads(s, d).select("read_id", "category_id", "start", "end"), "read_id")
+
+
+@query(f'{_COMP}, {_ISLANDS} SELECT component_id, category_id, start, stop AS "end" FROM isl')
+def interval_union(s, d):
+    return intervals.interval_union(_placed(s, d), ["component_id", "category_id"])
+
+
+@query(f"""{_COMP}, {_ISLANDS}, c AS (SELECT component_id, string_agg(CAST(n AS VARCHAR), '/' ORDER BY category_id) AS counts FROM (SELECT component_id, category_id, count(*) AS n FROM comp JOIN reads USING (read_id) GROUP BY 1, 2) GROUP BY 1),
+p AS (SELECT component_id, category_id, string_agg('(' || start || ',' || stop || ')', ';' ORDER BY start) AS t FROM isl GROUP BY 1, 2), w AS (SELECT component_id, string_agg(t, ' / ' ORDER BY category_id) AS spans FROM p GROUP BY 1)
+SELECT component_id, '#' || component_id || ' : ' || counts || ' [' || spans || ']' AS line FROM c JOIN w USING (component_id)""")
+def component_report(s, d):
+    return intervals.report(_members(s, d), reads(s, d))
+
+
+_EVENTS = "ev AS (SELECT component_id, start AS pos, 1 AS e FROM comp JOIN reads USING (read_id) UNION ALL SELECT component_id, stop, -1 FROM comp JOIN reads USING (read_id))"
+
+
+@query(f"""{_COMP}, {_EVENTS}, a AS (SELECT component_id, pos, sum(e) AS e FROM ev GROUP BY 1, 2),
+st AS (SELECT component_id, sum(e) OVER w AS depth, lead(pos) OVER w - pos AS n FROM a WINDOW w AS (PARTITION BY component_id ORDER BY pos))
+SELECT component_id, CAST(depth AS BIGINT) AS depth, CAST(sum(n) AS BIGINT) AS bases FROM st WHERE n IS NOT NULL GROUP BY 1, 2""")
+def coverage_histogram(s, d):
+    return intervals.coverage_histogram(_placed(s, d), ["component_id"])
+
+
+@query(f"""{_COMP}, {_EVENTS}, a AS (SELECT component_id, pos, e, sum(e) OVER (PARTITION BY component_id ORDER BY pos, e ROWS UNBOUNDED PRECEDING) AS after, coalesce(lag(pos) OVER (PARTITION BY component_id ORDER BY pos, e), -1) AS prev FROM ev)
+SELECT component_id, CAST(CASE WHEN e > 0 THEN after ELSE after + 1 END AS BIGINT) AS depth, CAST(sum(pos - prev) AS BIGINT) AS bases FROM a WHERE pos > prev GROUP BY 1, 2""")
+def coverage_by_event(s, d):
+    return intervals.coverage_histogram_by_event(_placed(s, d), ["component_id"])
+
+
+@query("""WITH i AS (SELECT event_type, user_id, CAST(floor(epoch(ts)) AS BIGINT) AS start, CAST(floor(epoch(ts)) AS BIGINT) + CAST(ceil(value) AS BIGINT) + 1 AS stop FROM events WHERE value IS NOT NULL AND value >= 0),
+b AS (SELECT *, max(stop) OVER (PARTITION BY event_type ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM i),
+j AS (SELECT *, sum(CASE WHEN before IS NULL OR start >= before THEN 1 ELSE 0 END) OVER (PARTITION BY event_type ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS island FROM b)
+SELECT event_type, min(start) AS start, max(stop) AS "end" FROM j GROUP BY event_type, island""")
+def event_intervals(s, d):
+    """The same union over another table."""
+    e = table(s, d, "events").where("value >= 0")
+    start = F.floor(F.col("ts").cast("timestamp").cast("double")).cast("bigint")
+    return intervals.interval_union(e.select("event_type", start.alias("start"), (start + F.ceil("value") + 1).alias("end")), ["event_type"])
+
+
+# Trees and tails.
+
+_PARENT = f"{_ESTIMATE}, pr AS (SELECT * FROM (SELECT x, y, score, row_number() OVER (PARTITION BY y ORDER BY score DESC, x) AS k FROM strong WHERE x < y) WHERE k = 1), tree AS MATERIALIZED (SELECT pr.x, pr.y, est.overlap FROM pr JOIN est ON est.x = pr.x AND est.y = pr.y)".replace("WITH ", "WITH RECURSIVE ", 1)
+_DIST = f"""{_PARENT}, dist AS (SELECT DISTINCT t.x AS read_id, t.x AS root, CAST(length(sequence) AS BIGINT) AS distance FROM tree t JOIN reads ON reads.read_id = t.x WHERE t.x NOT IN (SELECT y FROM tree)
+  UNION ALL SELECT t.y, dist.root, CAST(dist.distance + length(r.sequence) - t.overlap AS BIGINT) FROM dist JOIN tree t ON t.x = dist.read_id JOIN reads r ON r.read_id = t.y)"""
+
+
+def _distances(s, d) -> tuple[DataFrame, DataFrame]:
+    est = checkpointed(_estimates(s, d))
+    tree = checkpointed(trees.best_parents(est).join(est.select("x", "y", "overlap"), ["x", "y"]).select("x", "y", "overlap"))
+    roots = tree.select(F.col("x").alias("read_id")).distinct().join(tree.select(F.col("y").alias("read_id")), "read_id", "left_anti")
+    lengths = reads(s, d).select("read_id", F.length("sequence").alias("length"))
+    return trees.distances(tree, roots, lengths), lengths
+
+
+@query(f"{_DIST} SELECT * FROM dist")
+def tree_distances(s, d):
+    return _distances(s, d)[0]
+
+
+@query(f"{_DIST}, a AS (SELECT sum(length(sequence)) // count(*) AS av FROM reads), m AS (SELECT root, max(distance) AS far FROM dist GROUP BY 1) SELECT root, read_id, distance FROM dist JOIN m USING (root), a WHERE distance + 2 * av > far")
+def tail_vertices(s, d):
+    dist, lengths = _distances(s, d)
+    average = lengths.agg(F.floor(F.avg("length"))).first()[0]
+    return trees.tail_members(dist, average)
+
+
+_SIDES = "sides AS (SELECT component_id, CASE WHEN read_id % 2 = 0 THEN 'L' ELSE 'R' END AS side, read_id FROM comp)"
+
+
+@query(f"""{_COMP}, {_SIDES}, t AS (SELECT DISTINCT component_id, side, kmer FROM sides JOIN sdk_occ USING (read_id)),
+n AS (SELECT a.component_id AS c1, b.component_id AS c2, count(*) AS n FROM t a JOIN t b ON a.kmer = b.kmer AND a.component_id < b.component_id GROUP BY a.component_id, a.side, b.component_id, b.side) SELECT c1, c2, max(n) AS score FROM n GROUP BY 1, 2""")
+def tail_overlap_scores(s, d):
+    occ = _occurrences(s, d)
+    m = C.components_of(N.connections(N.multiplicities(occ), min_score=STRONG))
+    side = m.withColumn("side", F.when(F.col("read_id") % 2 == 0, "L").otherwise("R"))
+    return trees.tail_overlaps(side, occ)
+
+
+@query(f"{_COMP}, {_SIDES} SELECT component_id, side, read_id FROM sides WHERE read_id % 5 = 0 UNION SELECT component_id, side, y FROM sides JOIN conn ON x = read_id WHERE read_id % 5 = 0 AND score >= 40")
+def tail_amplification(s, d):
+    e = checkpointed(_edges(s, d))
+    m = C.components_of(e.where(F.col("score") >= STRONG))
+    side = m.where("read_id % 5 = 0").withColumn("side", F.when(F.col("read_id") % 2 == 0, "L").otherwise("R"))
+    return trees.amplified(side, e, 40)
+
+
+@query(f"{_COMP}, {_SIDES} SELECT comp.read_id AS id, comp.component_id, coalesce(sides.side, 'N') AS mark FROM comp LEFT JOIN sides ON sides.read_id = comp.read_id AND comp.read_id % 5 = 0")
+def tree_export_nodes(s, d):
+    e = checkpointed(_edges(s, d, STRONG))
+    m = C.components_of(e)
+    side = m.where("read_id % 5 = 0").withColumn("side", F.when(F.col("read_id") % 2 == 0, "L").otherwise("R"))
+    return trees.exported(e, m, side)[0]
+
+
+@query(f"{_COMP} SELECT (SELECT count(*) FROM comp) - (SELECT count(DISTINCT component_id) FROM comp) AS edges, (SELECT count(*) FROM comp) AS vertices")
+def forest_size(s, d):
+    """A spanning forest has as many edges as vertices less components."""
+    e = checkpointed(_edges(s, d, STRONG))
+    f = trees.spanning_forest(e)
+    return f.select(F.col("x").alias("v")).union(f.select("y")).distinct().agg(F.lit(f.count()).cast("bigint").alias("edges"), F.count("*").alias("vertices"))
+
+
+@query()
+def max_spanning_forest(s, d):
+    return trees.spanning_forest(_edges(s, d, STRONG))
+
+
+@query()
+def longest_path_tails(s, d):
+    occ = _occurrences(s, d)
+    e = checkpointed(N.pairs(N.multiplicities(occ), min_score=STRONG))
+    lengths = reads(s, d).select("read_id", F.length("sequence").alias("length"))
+    average = lengths.agg(F.floor(F.avg("length"))).first()[0]
+    return trees.tails(N.overlap_estimates(trees.spanning_forest(e), N.first_positions(occ)), lengths, average)
+
+
+# Spectral grouping, partitions, points.
+
+_AFF = f"{_CONN}, one AS (SELECT x, y, score FROM strong), mm AS (SELECT min(score) AS lo, max(score) AS hi FROM one), aff AS (SELECT x AS i, y AS j, exp(CASE WHEN hi > lo THEN 19.7 * (score - lo) / (hi - lo) + 0.3 ELSE 20.0 END) AS w FROM one, mm)"
+
+
+@query(f"{_AFF} SELECT i, j, round(w, 2) AS w FROM aff")
+def affinity_matrix(s, d):
+    return spectral.affinity(checkpointed(_edges(s, d, STRONG))).withColumn("w", F.round("w", 2))
+
+
+@query(f"{_AFF}, dg AS (SELECT i, sum(w) AS d FROM aff GROUP BY 1) SELECT aff.i, aff.j, round(w / sqrt(a.d * b.d), 7) AS w FROM aff JOIN dg a ON a.i = aff.i JOIN dg b ON b.i = aff.j")
+def normalized_affinity(s, d):
+    return spectral.normalised(spectral.affinity(checkpointed(_edges(s, d, STRONG)))).withColumn("w", F.round("w", 7))
+
+
+@query()
+def spectral_clusters(s, d):
+    e = checkpointed(_edges(s, d, 40))
+    return spectral.spectral_clusters(e, 8).select("cluster", "read_id", "rank")
+
+
+@query("""WITH c AS (SELECT vec_id AS k, embedding AS e FROM embeddings WHERE vec_id < 4), t AS (SELECT p.vec_id, c.k, list_sum(list_transform(range(1, len(p.embedding) + 1), lambda i: pow(CAST(p.embedding[i] AS DOUBLE) - c.e[i], 2))) AS dist FROM embeddings p, c)
+SELECT vec_id, CAST(arg_min(k, dist) AS INTEGER) AS cluster, round(min(dist), 6) AS distance FROM t GROUP BY 1""")
+def kmeans_step(s, d):
+    e = table(s, d, "embeddings")
+    centres = [[float(v) for v in r["embedding"]] for r in e.where("vec_id < 4").orderBy("vec_id").collect()]  # four centres
+    return spectral.kmeans_step(e, centres, "vec_id", "embedding").withColumn("distance", F.round("distance", 6))
+
+
+@query("""WITH v AS (SELECT label, vec_id, unnest(embedding) AS v, unnest(range(1, len(embedding) + 1)) AS k FROM embeddings), m AS (SELECT label, k, avg(CAST(v AS DOUBLE)) AS m FROM v GROUP BY 1, 2),
+q AS (SELECT label, vec_id, sum(pow(CAST(v AS DOUBLE) - m, 2)) AS dist FROM v JOIN m USING (label, k) GROUP BY 1, 2) SELECT label, vec_id, round(dist, 6) AS distance FROM q""")
+def centroid_distance(s, d):
+    return spectral.by_centroid_distance(table(s, d, "embeddings"), "label", "vec_id", "embedding").select("label", "vec_id", F.round("distance", 6).alias("distance"))
+
+
+@query()
+def kmeans_clusters(s, d):
+    return spectral.kmeans(table(s, d, "embeddings"), 5, "vec_id", "embedding", rounds=10)[0].select("vec_id", "cluster")
+
+
+_HALVES = f"{_CONN}, half AS (SELECT DISTINCT x AS read_id, x % 2 AS side FROM strong), e AS (SELECT strong.*, a.side AS sx, b.side AS sy FROM strong JOIN half a ON a.read_id = x JOIN half b ON b.read_id = y), dl AS (SELECT x AS read_id, CAST(sum(CASE WHEN sx <> sy THEN score ELSE -score END) AS BIGINT) AS delta FROM e GROUP BY 1)"
+
+
+def _halves(s, d) -> tuple[DataFrame, DataFrame]:
+    e = checkpointed(_edges(s, d, STRONG))
+    return e, e.select(F.col("x").alias("read_id"), (F.col("x") % 2).alias("side")).distinct()
+
+
+@query(f"{_HALVES} SELECT CAST(coalesce(sum(score), 0) AS BIGINT) AS cost FROM e WHERE x < y AND sx <> sy")
+def cut_cost(s, d):
+    return partitioning.cut_cost(*_halves(s, d))
+
+
+@query(f"{_HALVES} SELECT read_id, delta FROM dl")
+def vertex_deltas(s, d):
+    return partitioning.deltas(*_halves(s, d))
+
+
+@query(f"{_HALVES} SELECT x, y, a.delta + b.delta - 2 * score AS gain FROM e JOIN dl a ON a.read_id = x JOIN dl b ON b.read_id = y WHERE sx < sy")
+def swap_gains(s, d):
+    return partitioning.swap_gains(*_halves(s, d))
+
+
+@query(f"{_HALVES}, g AS (SELECT x, y, a.delta + b.delta - 2 * score AS gain FROM e JOIN dl a ON a.read_id = x JOIN dl b ON b.read_id = y WHERE sx < sy) SELECT x, y, gain, CAST(sum(gain) OVER (PARTITION BY x ORDER BY gain DESC, y ROWS UNBOUNDED PRECEDING) AS BIGINT) AS partial_sum FROM g")
+def gain_partial_sums(s, d):
+    g = partitioning.swap_gains(*_halves(s, d)).withColumn("o", -F.col("gain"))
+    return metrics.partial_sums(g, "gain", ["o", "y"], ["x"]).drop("o")
+
+
+@query()
+def bisection(s, d):
+    e = checkpointed(N.pairs(N.multiplicities(_occurrences(s, d)), min_score=40))
+    rows = [(name, len(a), len(b), float(cost)) for name, narrow in (("all_pairs", None), ("best_five", 5)) for a, b, cost in [partitioning.bisect(e, narrow=narrow)]]
+    return s.createDataFrame(rows, "method string, left_size bigint, right_size bigint, cost double")
+
+
+# Histograms and sketches.
+
+
+@query(f"""{_OCC}, t AS (SELECT kmer, count(*) AS n FROM occ GROUP BY 1), h AS (SELECT n AS x, count(*) AS y FROM t GROUP BY 1),
+f AS (SELECT r.x, coalesce(h.y, 0) AS y FROM (SELECT unnest(range((SELECT min(x) FROM h) - 1, (SELECT max(x) FROM h) + 2)) AS x) r LEFT JOIN h ON h.x = r.x),
+g AS (SELECT x, y, CASE WHEN y = lag(y) OVER (ORDER BY x) THEN 0 ELSE 1 END AS new FROM f), k AS (SELECT *, sum(new) OVER (ORDER BY x) AS run FROM g),
+p AS (SELECT run, CAST((min(x) + max(x)) // 2 AS BIGINT) AS x, max(y) AS y FROM k GROUP BY 1), q AS (SELECT *, lag(y) OVER (ORDER BY run) AS l, lead(y) OVER (ORDER BY run) AS r FROM p)
+SELECT x AS occurrence, y AS unique_kmers FROM q WHERE y > l AND y > r ORDER BY y DESC, x LIMIT 3""")
+def histogram_peaks(s, d):
+    return metrics.peaks(K.histogram(K.token_totals(reads(s, d), SIZE), 0))
+
+
+@query()
+def prominent_peaks(s, d):
+    h = K.histogram(K.token_totals(reads(s, d), SIZE), 0).orderBy("occurrence").collect()  # one row per occurrence
+    at = metrics.prominent_peaks([float(r["unique_kmers"]) for r in h])
+    return s.createDataFrame([(h[i]["occurrence"], h[i]["unique_kmers"]) for i in at], "occurrence bigint, unique_kmers bigint")
+
+
+@query()
+def hll_distinct(s, d):
+    t = T.tokenise(reads(s, d), SIZE, ("category_id",), positions=False)
+    parts = checkpointed(sketches.distinct_sketch(t, ["category_id"]))
+    return sketches.estimated(sketches.merged_sketch(parts)).select("estimate")
+
+
+@query()
+def bloom_membership(s, d):
+    t = K.band(K.token_totals(reads(s, d), SIZE), LOW, HIGH).select("token")
+    words = checkpointed(sketches.bloom(t, 1 << 18, 6))
+    return sketches.bloom_contains(K.token_totals(reads(s, d), 11).select("token"), words, 1 << 18, 6).groupBy("maybe").agg(F.count("*").alias("n"))
+
+
+@query()
+def count_min(s, d):
+    t = T.tokenise(reads(s, d), 9, ("category_id",), positions=False)
+    return sketches.count_sketch(t, ["category_id"]).select("category_id", F.length("sketch").alias("bytes"))
+
+
+@query("""WITH p AS (SELECT (p_partkey + 1) * 1000 AS n, CASE p_size % 3 WHEN 0 THEN 0.01 WHEN 1 THEN 0.05 ELSE 0.001 END AS p FROM part),
+b AS (SELECT n, p, CAST(pow(2, ceil(log2(-n * ln(p) / pow(0.6931471805599453, 2)))) AS BIGINT) AS bits FROM p)
+SELECT n, CAST(p AS DOUBLE) AS p, bits, CAST(greatest(floor(bits / n * 0.6931471805599453), 1) AS INTEGER) AS hashes FROM b""")
+def bloom_sizing(s, d):
+    p = table(s, d, "part").select(((F.col("p_partkey") + 1) * 1000).alias("n"), F.when(F.col("p_size") % 3 == 0, 0.01).when(F.col("p_size") % 3 == 1, 0.05).otherwise(0.001).alias("p"))
+    b = p.withColumn("bits", sketches.bloom_bits(F.col("n"), F.col("p")))
+    return b.withColumn("hashes", sketches.bloom_hashes(F.col("n"), F.col("bits")))
+
+
+@query("SELECT p_partkey, round(-(1048576 / 6) * ln(1 - (p_partkey * 100 % 1000000) / 1048576), 6) AS estimate FROM part")
+def bloom_cardinality(s, d):
+    ones = F.col("p_partkey") * 100 % 1000000
+    return table(s, d, "part").select("p_partkey", F.round(sketches.bloom_estimate(F.lit(1048576), F.lit(6), ones), 6).alias("estimate"))
+
+
+# Generated data and whole programs.
+
+
+@query()
+def generated_reads(s, d):
+    bases = checkpointed(generators.genome_pair(s, 20_000, 0.03))
+    return generators.uniform_reads(s, checkpointed(generators.assembled(bases, "b", 5000)), 20_000, 5, 500, 0.01, chunk=5000)
+
+
+@query()
+def grouped_records(s, d):
+    r = checkpointed(reads(s, d))
+    tokens = checkpointed(K.band(K.token_totals(r, SIZE), LOW, HIGH).select("token"))
+    return programs.group_records(r, tokens, SIZE, programs.Settings(min_size=2, score=STRONG, enrichment=5, tail=40)).components
+
+
+@query()
+def selected_tokens(s, d):
+    found = programs.select_tokens(reads(s, d), LOW, HIGH, k=15)
+    return K.with_string(found.tokens, found.k)
