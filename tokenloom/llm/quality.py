@@ -108,7 +108,8 @@ def fit(examples: DataFrame, bits: int, classes: int = 1, epochs: int = 2) -> np
         yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], type=pa.binary())], ["w"])
 
     one = examples.repartition(1).sortWithinPartitions("o", "y", "text").mapInArrow(learn, "w binary")
-    return np.frombuffer(one.first()["w"], np.float32).reshape(-1, classes)
+    got = one.first()  # no labelled row, no task, no weights
+    return np.frombuffer(got["w"], np.float32).reshape(-1, classes) if got else np.zeros(((1 << bits) + 1, classes), np.float32)
 
 
 def model(docs: DataFrame, labels: DataFrame, max_train: int = 12_000, bits: int = 18, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", learn_where: Column | None = None) -> np.ndarray:
