@@ -15,12 +15,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many partitions as there are cores.
+
+    A table of one small file is one partition, and tokenising it would keep one core busy;
+    tables with enough splits stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def reads(spark: SparkSession, sf_dir: str, with_qualities: bool = False) -> DataFrame:
     """documents as reads: letters a-z become bases in turn, the language is the file."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     letters = F.regexp_replace(F.lower("text"), "[^a-z]", "")
     # As many rows as there are languages, so the window and the join's other side are tiny.
-    langs = d.select("lang").distinct().select("lang", (F.row_number().over(W.orderBy("lang")) - 1).alias("category_id"))
+    langs = table(spark, sf_dir, "documents").select("lang").distinct().select("lang", (F.row_number().over(W.orderBy("lang")) - 1).alias("category_id"))
     out = d.select((F.col("doc_id") + 1).alias("read_id"), "lang", letters.alias("letters")).join(F.broadcast(langs), "lang")
     start = (F.col("read_id") * 37) % 5000 + 1
     cols = [F.col("read_id"), F.concat(F.lit("read"), "read_id").alias("header"), F.translate("letters", _LETTERS, _BASES).alias("sequence"), F.col("category_id").cast("int").alias("category_id"), start.alias("start"), (start + F.length("letters")).alias("end")]
