@@ -51,7 +51,7 @@ def _rate(mu: list[float]) -> Column:
     return F.greatest(F.lit(0.0), sum((F.col("posterior")[k] * F.lit(float(m)) for k, m in enumerate(mu)), F.lit(1.0)))
 
 
-def fit_rates(rows: DataFrame, targets: tuple[float, ...], rounds: int = 60, tolerance: float = 1e-6) -> tuple[list[float], list[float]]:
+def fit_rates(rows: DataFrame, targets: tuple[float, ...], rounds: int = 20, tolerance: float = 1e-6) -> tuple[list[float], list[float]]:
     """Coefficients mu of the rates, and each domain's share of all tokens that is left to meet.
 
     Minimises half the squared distance of the domains' expected tokens to the targets over rates >= 0,
@@ -59,8 +59,9 @@ def fit_rates(rows: DataFrame, targets: tuple[float, ...], rounds: int = 60, tol
     tokens: there a gradient step changes a rate by the posterior times a vector that is
     the same for all documents.  mu is the sum of these steps, each projected through the
     rates and scaled by the curvature of the documents that aren't at 0; a step that doesn't lower
-    the distance is halved.  Sums over documents are decimals, so that the order of
-    adding doesn't change a digit.
+    the distance is halved.  Where targets can't be met, the steps end once they gain less
+    than a fiftieth.  Sums over documents are whole numbers of 1e-15 of all tokens, so
+    that the order of adding doesn't change a digit.
     """
     d = len(targets)
     n = float(rows.agg(F.sum("n_tokens")).first()[0] or 0)
@@ -68,19 +69,20 @@ def fit_rates(rows: DataFrame, targets: tuple[float, ...], rounds: int = 60, tol
         return [0.0] * d, [0.0] * d
     weight = sum(targets)
     goal = np.array([t / weight for t in targets])
-    exact = "decimal(38,18)"
+    unit = 1e15
+    exact = lambda c: F.sum(F.round(c * unit).cast("bigint"))
 
     def sums(mu):
         r = rows.withColumn("r", _rate(mu))
         part = lambda k: F.col("posterior")[k] * F.col("n_tokens")
-        got = [F.sum((part(k) * F.col("r") / n).cast(exact)).alias(f"t{k}") for k in range(d)]
-        curve = [F.sum(F.when(F.col("r") > 0, part(a) * F.col("posterior")[b] / n).otherwise(0.0).cast(exact)).alias(f"c{a}_{b}") for a in range(d) for b in range(a, d)]
+        got = [exact(part(k) * F.col("r") / n).alias(f"t{k}") for k in range(d)]
+        curve = [exact(F.when(F.col("r") > 0, part(a) * F.col("posterior")[b] / n).otherwise(0.0)).alias(f"c{a}_{b}") for a in range(d) for b in range(a, d)]
         row = r.agg(*got, *curve).first()
         c = np.zeros((d, d))
         for a in range(d):
             for b in range(a, d):
-                c[a, b] = c[b, a] = float(row[f"c{a}_{b}"] or 0)
-        return np.array([float(row[f"t{k}"] or 0) for k in range(d)]), c
+                c[a, b] = c[b, a] = float(row[f"c{a}_{b}"] or 0) / unit
+        return np.array([float(row[f"t{k}"] or 0) / unit for k in range(d)]), c
 
     mu = np.zeros(d)
     left, c = sums(mu.tolist())
@@ -89,15 +91,17 @@ def fit_rates(rows: DataFrame, targets: tuple[float, ...], rounds: int = 60, tol
         if np.abs(left).max() <= tolerance:
             break
         step = np.linalg.solve(c + np.eye(d) * max(np.trace(c), 1e-300) * 1e-9, left)
-        size = 1.0
-        while size > 1e-3:
+        size, before = 1.0, np.square(left).sum()
+        while size > 0.1:
             now, curve = sums((mu + size * step).tolist())
-            if np.square(goal - now).sum() < np.square(left).sum():
+            if np.square(goal - now).sum() < before:
                 break
             size /= 2
         else:
             break
         mu, left, c = mu + size * step, goal - now, curve
+        if np.square(left).sum() > 0.98 * before:
+            break
     return mu.tolist(), left.tolist()
 
 
