@@ -32,17 +32,18 @@ def normalised(aff: DataFrame) -> DataFrame:
     return aff.join(degree, "i").join(other, "j").select("i", "j", (F.col("w") / F.sqrt(F.col("d") * F.col("dj"))).alias("w"))
 
 
-def eigenvectors(matrix: np.ndarray, dims: int) -> np.ndarray:
-    """Columns by falling eigenvalue, at most dims."""
+def eigenvectors(matrix: np.ndarray, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """Columns by falling eigenvalue, at most dims; and the eigenvalues."""
     values, vectors = np.linalg.eigh(matrix)
-    return vectors[:, np.argsort(-values, kind="stable")[: min(dims, len(values))]]
+    by = np.argsort(-values, kind="stable")[: min(dims, len(values))]
+    return vectors[:, by], values[by]
 
 
-def rotate(x: np.ndarray, rounds: int = 200, tolerance: float = 1e-3) -> tuple[np.ndarray, float]:
+def rotate(x: np.ndarray, rounds: int = 100, tolerance: float = 1e-3) -> tuple[np.ndarray, float]:
     """x turned so that each row has one large entry, and the quality of that (1: perfect).
 
     Gradient steps on the Givens angles of all pairs of columns, one angle at a time; a
-    step counts only if the quality rises.
+    step counts only if the quality rises, and is tried longer and shorter if it doesn't.
     """
     n, g = x.shape
     pairs = [(a, b) for a in range(g) for b in range(a + 1, g)]
@@ -78,27 +79,47 @@ def rotate(x: np.ndarray, rounds: int = 200, tolerance: float = 1e-3) -> tuple[n
 
     y = turned(angles)
     q = quality(y)
-    past = [q]
-    for step in range(rounds):
+
+    def sweep(steps) -> None:
+        nonlocal angles, y, q
         for k in range(len(pairs)):
-            trial = angles.copy()
-            trial[k] -= gradient(angles, k, y)
-            z = turned(trial)
-            if quality(z) > q:
-                angles, y, q = trial, z, quality(z)
-        past.append(q)
-        if step > 2 and q - past[-3] < tolerance:
-            break
+            for step in steps(k):
+                trial = angles.copy()
+                trial[k] += step
+                z = turned(trial)
+                if (now := quality(z)) > q:
+                    angles, y, q = trial, z, now
+                    break
+
+    def downhill(k):
+        slope = gradient(angles, k, y)
+        return (-slope, -8 * slope, -slope / 8)
+
+    for _ in range(rounds):
+        before = q
+        sweep(downhill)
+        sweep(downhill)
+        if q - before < tolerance:
+            # Rows with two equal entries have no slope; fixed turns lead away from there.
+            sweep(lambda k: (np.pi / 4, -np.pi / 4, 0.1, -0.1))
+            if q - before < tolerance:
+                break
     return y, q
 
 
-def group(vectors: np.ndarray, near: float = 1e-3) -> np.ndarray:
-    """Group of each row: rotations of the first 2, 3, ... columns are compared, and the last within `near` of the best one counts."""
+def group(vectors: np.ndarray, values: np.ndarray | None = None, near: float = 1e-3) -> np.ndarray:
+    """Group of each row: rotations of the first 2, 3, ... columns are compared, and the last within `near` of the best one counts.
+
+    values: the eigenvalues, if known; columns that share the greatest one belong to parts
+    of the graph without a connection, any mixture of them is as good, and so they are
+    only looked at together.
+    """
     n, dims = vectors.shape
     if n < 2 or dims < 2:
         return np.zeros(n, int)
-    x, best, labels = vectors[:, :1], -np.inf, np.zeros(n, int)
-    for g in range(2, dims + 1):
+    first = 2 if values is None else max(2, int((values > values[0] - 1e-6).sum()))
+    x, best, labels = vectors[:, : first - 1], -np.inf, np.zeros(n, int)
+    for g in range(first, dims + 1):
         x, q = rotate(np.column_stack([x, vectors[:, g - 1]]))
         if q >= best - near:
             labels = np.abs(x).argmax(1)
@@ -120,8 +141,8 @@ def spectral_clusters(edges: DataFrame, dims: int = 16, max_vertices: int = MAX_
         ids = np.unique(rows["i"])
         m = np.zeros((len(ids), len(ids)))
         m[np.searchsorted(ids, rows["i"]), np.searchsorted(ids, rows["j"])] = rows["w"]
-        v = eigenvectors((m + m.T) / 2, dims)
-        out = pd.DataFrame({"read_id": ids, "cluster": group(v)})
+        v, values = eigenvectors((m + m.T) / 2, dims)
+        out = pd.DataFrame({"read_id": ids, "cluster": group(v, values)})
         return pd.concat([out, pd.DataFrame(v, columns=[f"v{k}" for k in range(v.shape[1])])], axis=1).pipe(_ordered)
 
     return lap.groupBy("one").applyInPandas(solve, "cluster bigint, read_id bigint, rank bigint, distance double")
