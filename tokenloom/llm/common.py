@@ -47,20 +47,6 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def removed(df_or_path: DataFrame | str, spark: SparkSession | None = None) -> None:
-    """Deletes what stored() wrote, once nothing reads it any more."""
-    if isinstance(df_or_path, str):
-        paths, session = [df_or_path], spark
-    else:
-        session = df_or_path.sparkSession
-        paths = sorted({f.rpartition("/")[0] for f in df_or_path.inputFiles()})
-    jvm, conf = session._jvm, session._jsc.hadoopConfiguration()
-    for p in paths:
-        if "/tokenloom-" in p:
-            at = jvm.org.apache.hadoop.fs.Path(p)
-            at.getFileSystem(conf).delete(at, True)
-
-
 def trimmed() -> None:
     """Hands memory that Python no longer uses back to the system, as workers are kept for later tasks."""
     pa.default_memory_pool().release_unused()
