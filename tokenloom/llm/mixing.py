@@ -51,6 +51,30 @@ def _rate(mu: list[float]) -> Column:
     return F.greatest(F.lit(0.0), sum((F.col("posterior")[k] * F.lit(float(m)) for k, m in enumerate(mu)), F.lit(1.0)))
 
 
+#: Whole numbers of this part of all tokens are summed.
+_UNIT = 1e15
+
+
+def _partial(tried: np.ndarray, n: float):
+    """A batch function: for every mu tried, the sums of tokens by domain and of the curvature's upper half, as (at, total)."""
+    m, d = tried.shape
+    upper = np.triu_indices(d)
+
+    def run(it):
+        total = np.zeros((m, d + len(upper[0])), np.int64)
+        for rb in it:
+            p = rb.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+            part = p * (rb.column(0).to_numpy(zero_copy_only=False) * (_UNIT / n))[:, None]
+            second = np.rint(part[:, upper[0]] * p[:, upper[1]]).astype(np.int64)
+            for k in range(m):
+                rate = np.maximum(1 + (p * tried[k]).sum(1), 0.0)
+                total[k, :d] += np.rint(part * rate[:, None]).astype(np.int64).sum(0)
+                total[k, d:] += second[rate > 0].sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size, dtype=np.int32)), pa.array(total.ravel())], ["at", "total"])
+
+    return run
+
+
 def fit_rates(rows: DataFrame, targets: tuple[float, ...], rounds: int = 20, tolerance: float = 1e-6) -> tuple[list[float], list[float]]:
     """Coefficients mu of the rates, and each domain's share of all tokens that is left to meet.
 
@@ -58,10 +82,11 @@ def fit_rates(rows: DataFrame, targets: tuple[float, ...], rounds: int = 20, tol
     starting from rates of 1, in the metric in which a document weighs as much as its
     tokens: there a gradient step changes a rate by the posterior times a vector that is
     the same for all documents.  mu is the sum of these steps, each projected through the
-    rates and scaled by the curvature of the documents that aren't at 0; a step that doesn't lower
-    the distance is halved.  Where targets can't be met, the steps end once they gain less
-    than a fiftieth.  Sums over documents are whole numbers of 1e-15 of all tokens, so
-    that the order of adding doesn't change a digit.
+    rates and scaled by the curvature of the documents that aren't at 0.  A round tries the
+    step and its halves in one pass over the rows and takes the longest that lowers the
+    distance.  Where targets can't be met, the steps end once they gain less than a
+    fiftieth.  Sums over documents are whole numbers of 1e-15 of all tokens, so that the
+    order of adding doesn't change a digit.
     """
     d = len(targets)
     n = float(rows.agg(F.sum("n_tokens")).first()[0] or 0)
@@ -69,37 +94,34 @@ def fit_rates(rows: DataFrame, targets: tuple[float, ...], rounds: int = 20, tol
         return [0.0] * d, [0.0] * d
     weight = sum(targets)
     goal = np.array([t / weight for t in targets])
-    unit = 1e15
-    exact = lambda c: F.sum(F.round(c * unit).cast("bigint"))
-
-    def sums(mu):
-        r = rows.withColumn("r", _rate(mu))
-        part = lambda k: F.col("posterior")[k] * F.col("n_tokens")
-        got = [exact(part(k) * F.col("r") / n).alias(f"t{k}") for k in range(d)]
-        curve = [exact(F.when(F.col("r") > 0, part(a) * F.col("posterior")[b] / n).otherwise(0.0)).alias(f"c{a}_{b}") for a in range(d) for b in range(a, d)]
-        row = r.agg(*got, *curve).first()
-        c = np.zeros((d, d))
-        for a in range(d):
-            for b in range(a, d):
-                c[a, b] = c[b, a] = float(row[f"c{a}_{b}"] or 0) / unit
-        return np.array([float(row[f"t{k}"] or 0) / unit for k in range(d)]), c
+    upper = np.triu_indices(d)
+
+    def passed(tried: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Each domain's share of tokens, and the curvature, for every mu tried."""
+        found = rows.select("n_tokens", "posterior").mapInArrow(_partial(np.array(tried), n), "at int, total bigint")
+        total = np.zeros(len(tried) * (d + len(upper[0])))
+        for r in found.groupBy("at").agg(F.sum("total").alias("total")).collect():  # one row for each number of the state
+            total[r["at"]] = r["total"] / _UNIT
+        out = []
+        for part in total.reshape(len(tried), -1):
+            c = np.zeros((d, d))
+            c[upper] = c[upper[::-1]] = part[d:]
+            out.append((part[:d], c))
+        return out
 
     mu = np.zeros(d)
-    left, c = sums(mu.tolist())
-    left = goal - left
+    ((now, c),) = passed([mu])
+    left = goal - now
     for _ in range(rounds):
         if np.abs(left).max() <= tolerance:
             break
         step = np.linalg.solve(c + np.eye(d) * max(np.trace(c), 1e-300) * 1e-9, left)
-        size, before = 1.0, np.square(left).sum()
-        while size > 0.1:
-            now, curve = sums((mu + size * step).tolist())
-            if np.square(goal - now).sum() < before:
-                break
-            size /= 2
-        else:
+        before = np.square(left).sum()
+        tried = [mu + step * size for size in (1.0, 0.5, 0.25, 0.125)]
+        better = [(m, goal - t, k) for m, (t, k) in zip(tried, passed(tried)) if np.square(goal - t).sum() < before]
+        if not better:
             break
-        mu, left, c = mu + size * step, goal - now, curve
+        mu, left, c = better[0]
         if np.square(left).sum() > 0.98 * before:
             break
     return mu.tolist(), left.tolist()
