@@ -206,6 +206,42 @@ def test_mixing_meets_targets(spark):
     assert sum(x["posterior"][x["doc_id"] % 4] > 0.5 for x in got) > 700
 
 
+def spread_posteriors(spark, alphas, n=4000):
+    r = np.random.default_rng(0)
+    p, tokens = r.dirichlet(alphas, n), r.integers(20, 500, n)
+    rows = spark.createDataFrame([(int(t), row) for t, row in zip(tokens, p.tolist())], "n_tokens bigint, posterior array<double>")
+    return p, tokens / tokens.sum(), rows
+
+
+def test_rates_meet_skewed_targets(spark):
+    p, w, rows = spread_posteriors(spark, (0.5, 2, 0.2, 0.2))
+    fitted = mixing.fit_rates(rows, mixing.TARGETS)
+    got = mixing.with_rates(rows, fitted).collect()
+    rate = np.array([x["rate"] for x in got])
+    p, w = np.array([x["posterior"] for x in got]), np.array([x["n_tokens"] for x in got])
+    assert fitted.optimal and rate.min() >= 0
+    assert (p * (rate * w / w.sum())[:, None]).sum(0) == pytest.approx(mixing.TARGETS, abs=1e-5)
+
+
+def test_rates_are_optimal_where_targets_cannot_be_met(spark):
+    p, w, rows = spread_posteriors(spark, (0.3, 3, 0.3, 0.3))
+    fitted = mixing.fit_rates(rows, mixing.TARGETS)
+    rate, _ = mixing.rates_of(p, fitted.mu, fitted.steps)
+    left = np.array(mixing.TARGETS) - (p * (rate * w)[:, None]).sum(0)
+    assert fitted.optimal and np.abs(left).max() > 0.01 and fitted.left == pytest.approx(left.tolist(), abs=1e-6)
+    # No rate gains by a gradient step: those above 0 have no slope, those at 0 none upwards.
+    assert np.abs(rate - np.maximum(rate + p @ left, 0)).max() < 1e-5
+
+
+def test_projected_gradients_alone_reach_the_same(spark):
+    p, w, rows = spread_posteriors(spark, (4, 2, 1, 1), 300)
+    fitted = mixing.fit_rates(rows, (0.4, 0.3, 0.2, 0.1), tolerance=1e-3, start=0)
+    got = mixing.with_rates(rows, fitted).collect()
+    assert fitted.optimal and fitted.steps and set(fitted.mu) == {0.0}
+    assert [x["rate"] for x in got] == pytest.approx(mixing.rates_of(p, fitted.mu, fitted.steps)[0].tolist())
+    assert (p * (mixing.rates_of(p, fitted.mu, fitted.steps)[0] * w)[:, None]).sum(0) == pytest.approx((0.4, 0.3, 0.2, 0.1), abs=2e-2)
+
+
 def test_mixing_awkward(spark, awkward, labels):
     got = mixing.mix(awkward, labels).collect()
     assert len(got) == len(AWKWARD) and all(x["rate"] >= 0 and sum(x["posterior"]) == pytest.approx(1) for x in got)

@@ -2,13 +2,16 @@
 
 A classifier learnt from the table of labels gives each document its posterior of every
 domain; nonnegative document rates are then fitted so that the expected tokens of each
-domain meet the targets.  The fit is least squares by projected gradients: the rates are
-the projection of a linear function of the posteriors, so the state of an iteration is
-one number per domain, and every iteration is one aggregation over the documents.
+domain meet the targets.  The fit is least squares: Newton steps on the dual find the
+start, projected gradients on the rates finish where targets can't be met.  The state is
+a few numbers per domain, and every round is one aggregation over the documents.
 """
 
 from __future__ import annotations
 
+import logging
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +21,8 @@ from tokenloom.llm.common import map_texts, stored, table
 from tokenloom.llm.quality import fit, labelled, margins
 from tokenloom.llm.words import split
 
+_log = logging.getLogger(__name__)
+
 #: Domains by the labels' columns quality and toxic, in this order, with the target weight of each.
 DOMAINS = ("good", "poor", "good_toxic", "poor_toxic")
 TARGETS = (0.94, 0.04, 0.015, 0.005)
@@ -46,85 +51,151 @@ def memberships(docs: DataFrame, labels: DataFrame, domain: Column, n_domains: i
     return map_texts(docs, member, "n_tokens bigint, posterior array<double>", id_col, text_col)
 
 
-def _rate(mu: list[float]) -> Column:
-    """Projection: 1 plus the posterior times mu, cut at 0."""
-    return F.greatest(F.lit(0.0), sum((F.col("posterior")[k] * F.lit(float(m)) for k, m in enumerate(mu)), F.lit(1.0)))
-
-
 #: Whole numbers of this part of all tokens are summed.
 _UNIT = 1e15
 
+#: Weight of the rates' own distance to 1 beside the distance to the targets.
+_NEAR = 1e-11
+
+#: A round of the start looks at steps with these dampings, times the greatest curvature.
+_DAMPING = (0.0, *(10.0**-k for k in range(10, -1, -1)))
+
+
+@dataclass
+class Fit:
+    """State of the rates, and how well they do.
+
+    mu: coefficients of the start; steps: (momentum, gradient step) of the projected gradients
+    after it; left: each domain's share of all tokens that is left to meet (target less what
+    the rates give); optimal: whether the gradient's optimality condition holds; rounds: passes
+    over the rows.
+    """
+
+    mu: list[float]
+    steps: list[tuple[float, list[float]]]
+    left: list[float]
+    optimal: bool
+    rounds: int
+
 
-def _partial(tried: np.ndarray, n: float):
-    """A batch function: for every mu tried, the sums of tokens by domain and of the curvature's upper half, as (at, total)."""
-    m, d = tried.shape
+def rates_of(p: np.ndarray, mu: np.ndarray, steps: list[tuple[float, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Rates by posterior, and how far the last step moved each."""
+    rate = np.maximum(1 + (p * np.asarray(mu)).sum(1), 0.0)
+    before, moved = rate, np.zeros_like(rate)
+    for momentum, step in steps:
+        ahead = rate + momentum * (rate - before)
+        before, rate = rate, np.maximum(ahead + (p * np.asarray(step)).sum(1), 0.0)
+        moved = rate - ahead
+    return rate, moved
+
+
+def _partial(tried: list[tuple[np.ndarray, list]], n: float, d: int):
+    """A batch function: for every (mu, steps) tried, the sums of tokens by domain and of the curvature's upper half, and the longest last move, as (at, total, most)."""
     upper = np.triu_indices(d)
 
     def run(it):
-        total = np.zeros((m, d + len(upper[0])), np.int64)
+        total = np.zeros((len(tried), d + len(upper[0])))
+        most = np.zeros(len(tried))
         for rb in it:
             p = rb.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
             part = p * (rb.column(0).to_numpy(zero_copy_only=False) * (_UNIT / n))[:, None]
-            second = np.rint(part[:, upper[0]] * p[:, upper[1]]).astype(np.int64)
-            for k in range(m):
-                rate = np.maximum(1 + (p * tried[k]).sum(1), 0.0)
-                total[k, :d] += np.rint(part * rate[:, None]).astype(np.int64).sum(0)
+            second = np.rint(part[:, upper[0]] * p[:, upper[1]])
+            for k, state in enumerate(tried):
+                rate, moved = rates_of(p, *state)
+                # Whole numbers below 2**53, save in tries that are nine times too long.
+                total[k, :d] += np.rint(part * rate[:, None]).sum(0)
                 total[k, d:] += second[rate > 0].sum(0)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size, dtype=np.int32)), pa.array(total.ravel())], ["at", "total"])
+                most[k] = max(most[k], np.abs(moved).max(initial=0.0))
+        total = np.minimum(total, 9e18).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size, dtype=np.int32)), pa.array(total.ravel()), pa.array(np.repeat(most, total.shape[1]))], ["at", "total", "most"])
 
     return run
 
 
-def fit_rates(rows: DataFrame, targets: tuple[float, ...], rounds: int = 20, tolerance: float = 1e-6) -> tuple[list[float], list[float]]:
-    """Coefficients mu of the rates, and each domain's share of all tokens that is left to meet.
+def fit_rates(rows: DataFrame, targets: tuple[float, ...], rounds: int = 1000, tolerance: float = 1e-6, start: int = 60) -> Fit:
+    """Rates >= 0 that bring the domains' expected tokens as near to the targets as any do.
+
+    Minimises half the squared distance of the domains' expected tokens to the targets, in
+    the metric in which a document weighs as much as its tokens: there a gradient step
+    changes a rate by the posterior times a vector that is the same for all documents, and
+    the state is a few numbers.
 
-    Minimises half the squared distance of the domains' expected tokens to the targets over rates >= 0,
-    starting from rates of 1, in the metric in which a document weighs as much as its
-    tokens: there a gradient step changes a rate by the posterior times a vector that is
-    the same for all documents.  mu is the sum of these steps, each projected through the
-    rates and scaled by the curvature of the documents that aren't at 0.  A round tries the
-    step and its halves in one pass over the rows and takes the longest that lowers the
-    distance.  Where targets can't be met, the steps end once they gain less than a
-    fiftieth.  Sums over documents are whole numbers of 1e-15 of all tokens, so that the
+    The start is the solution nearest to rates of 1, max(0, 1 + posterior * mu): mu by Newton
+    steps on the dual, which is concave, damped until the dual still rises at their end; at
+    most `start` of them.  If the targets
+    aren't met there, accelerated projected gradients (step 1 / the curvature's greatest
+    eigenvalue, momentum dropped when it points uphill) go on until no rate moves by more than
+    `tolerance` times that step, which is the optimality condition, or until `rounds` passes
+    over the rows.  Sums over documents are whole numbers of 1e-15 of all tokens, so that the
     order of adding doesn't change a digit.
     """
     d = len(targets)
     n = float(rows.agg(F.sum("n_tokens")).first()[0] or 0)
     if not n:
-        return [0.0] * d, [0.0] * d
+        return Fit([0.0] * d, [], [0.0] * d, True, 0)
     weight = sum(targets)
     goal = np.array([t / weight for t in targets])
     upper = np.triu_indices(d)
-
-    def passed(tried: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Each domain's share of tokens, and the curvature, for every mu tried."""
-        found = rows.select("n_tokens", "posterior").mapInArrow(_partial(np.array(tried), n), "at int, total bigint")
-        total = np.zeros(len(tried) * (d + len(upper[0])))
-        for r in found.groupBy("at").agg(F.sum("total").alias("total")).collect():  # one row for each number of the state
-            total[r["at"]] = r["total"] / _UNIT
+    passes = 0
+
+    def passed(tried: list[tuple[np.ndarray, list]]) -> list[tuple[np.ndarray, np.ndarray, float]]:
+        """What is left of the targets, the curvature and the longest last move, for every state tried."""
+        nonlocal passes
+        passes += 1
+        found = rows.select("n_tokens", "posterior").mapInArrow(_partial(tried, n, d), "at int, total bigint, most double")
+        total, most = np.zeros(len(tried) * (d + len(upper[0]))), np.zeros(len(tried) * (d + len(upper[0])))
+        for r in found.groupBy("at").agg(F.sum(F.col("total").cast("decimal(38,0)")).alias("total"), F.max("most").alias("most")).collect():  # one row for each number of the state
+            total[r["at"]], most[r["at"]] = float(r["total"]) / _UNIT, r["most"]
         out = []
-        for part in total.reshape(len(tried), -1):
+        for part, far in zip(total.reshape(len(tried), -1), most.reshape(len(tried), -1)):
             c = np.zeros((d, d))
             c[upper] = c[upper[::-1]] = part[d:]
-            out.append((part[:d], c))
+            out.append((goal - part[:d], c, float(far[0])))
         return out
 
     mu = np.zeros(d)
-    ((now, c),) = passed([mu])
-    left = goal - now
-    for _ in range(rounds):
-        if np.abs(left).max() <= tolerance:
-            break
-        step = np.linalg.solve(c + np.eye(d) * max(np.trace(c), 1e-300) * 1e-9, left)
-        before = np.square(left).sum()
-        tried = [mu + step * size for size in (1.0, 0.5, 0.25, 0.125)]
-        better = [(m, goal - t, k) for m, (t, k) in zip(tried, passed(tried)) if np.square(goal - t).sum() < before]
-        if not better:
+    ((left, c, _),) = passed([(mu, [])])
+    greatest = float(np.linalg.eigvalsh(c)[-1])
+    for _ in range(start):
+        slope = left - _NEAR * mu
+        if np.abs(left).max() <= tolerance or np.abs(slope).max() <= tolerance * 1e-4:
             break
-        mu, left, c = better[0]
-        if np.square(left).sum() > 0.98 * before:
+        moves = [np.linalg.solve(c + np.eye(d) * (_NEAR + more * greatest), slope) for more in _DAMPING]
+        found = passed([(mu + move, []) for move in moves])
+        slopes = [x[0] - _NEAR * (mu + move) for move, x in zip(moves, found)]
+        # Tries with several times all tokens aren't exact, and never the maximum.
+        rising = [k for k, g in enumerate(slopes) if np.abs(g).max() < 8 and (g @ moves[k] >= 0 or np.square(g).sum() <= 0.25 * np.square(slope).sum())]
+        if not rising:
             break
-    return mu.tolist(), left.tolist()
+        mu, (left, c, _) = mu + moves[rising[0]], found[rising[0]]
+
+    steps: list[tuple[float, list[float]]] = []
+    optimal = bool(np.abs(left).max() <= tolerance)  # posteriors sum to 1, so no gradient is longer
+    momentum, t, before = 0.0, 1.0, left
+    while not optimal and passes < rounds:
+        ahead = left + momentum * (left - before)
+        step = (momentum, (ahead / greatest).tolist())
+        ((now, _, far),) = passed([(mu, [*steps, step])])
+        optimal = far * greatest <= tolerance or bool(np.abs(now).max() <= tolerance)
+        steps.append(step)
+        before, left = left, now
+        after = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        momentum, t = ((t - 1) / after, after) if np.square(left).sum() <= np.square(before).sum() else (0.0, 1.0)
+    return Fit(mu.tolist(), steps, left.tolist(), optimal, passes)
+
+
+def with_rates(rows: DataFrame, fitted: Fit) -> DataFrame:
+    """rows with the column rate that the fit gives each posterior."""
+    if not fitted.optimal or np.abs(fitted.left).max() > 1e-4:
+        _log.warning("targets not met: %s of all tokens left by domain, optimal: %s, passes: %d", fitted.left, fitted.optimal, fitted.rounds)
+    if not fitted.steps:
+        return rows.withColumn("rate", F.greatest(F.lit(0.0), sum((F.col("posterior")[k] * F.lit(float(m)) for k, m in enumerate(fitted.mu)), F.lit(1.0))))
+
+    @F.arrow_udf("double")
+    def rate(posterior: pa.Array) -> pa.Array:
+        return pa.array(rates_of(posterior.flatten().to_numpy(zero_copy_only=False).reshape(len(posterior), -1), fitted.mu, fitted.steps)[0])
+
+    return rows.withColumn("rate", rate("posterior"))
 
 
 def mix(docs: DataFrame, labels: DataFrame, domain: Column | None = None, targets: tuple[float, ...] = TARGETS, max_train: int = 12_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -133,7 +204,7 @@ def mix(docs: DataFrame, labels: DataFrame, domain: Column | None = None, target
     rate: how often the row's document is to be drawn on average, so that the expected
     tokens of each domain (rate * n_tokens * posterior, over all rows) are its target's
     part of the tokens there are.  Targets are normalised to sum to 1; targets that no
-    rates >= 0 can meet are met as nearly as the fit gets.
+    rates >= 0 can meet are met as nearly as any rates do; what is left is logged.
 
     Null and empty texts have 0 tokens and a rate by their posterior; labels without an id or a label are
     skipped; rows labelled twice are learnt twice; repeated rows get equal rates; null
@@ -141,8 +212,7 @@ def mix(docs: DataFrame, labels: DataFrame, domain: Column | None = None, target
     empty table has no rates.  Other columns are ignored.
     """
     rows = stored(memberships(docs, labels, domain if domain is not None else domain_of(), len(targets), max_train, id_col=id_col, text_col=text_col), "member")
-    mu, _ = fit_rates(rows, targets)
-    return rows.withColumn("rate", _rate(mu))
+    return with_rates(rows, fit_rates(rows, targets))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,5 +240,4 @@ def weigh(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     kept = docs.drop("n_tokens", "posterior", "rate")
     scored = stored(kept.withColumn("__m__", member(F.col("text").cast("binary"))).select("*", "__m__.n_tokens", "__m__.posterior").drop("__m__"), "weigh")
-    mu, _ = fit_rates(scored.select("n_tokens", "posterior"), TARGETS)
-    return scored.withColumn("rate", _rate(mu))
+    return with_rates(scored, fit_rates(scored.select("n_tokens", "posterior"), TARGETS))
