@@ -310,7 +310,9 @@ _BINS_SQL = "CASE " + " ".join(f"WHEN score >= CAST('{low!r}' AS DOUBLE) AND sco
 
 @query(f"{_BY_SCORE}, b AS (SELECT {_BINS_SQL} AS bin, overlap, edges FROM bs) SELECT bin, CAST(sum(edges) AS BIGINT) AS edges, sum(overlap * edges) / sum(edges) AS mean_overlap, min(overlap) AS min_overlap FROM b WHERE bin IS NOT NULL GROUP BY 1")
 def overlap_bins(s, d):
-    return metrics.binned_overlaps(N.overlap_by_score(_edges(s, d), reads(s, d)), _BINS)
+    by_score = checkpointed(N.overlap_by_score(_edges(s, d), reads(s, d)))
+    greatest = by_score.agg(F.max("score")).first()[0] or 0
+    return metrics.binned_overlaps(by_score, metrics.geometric_bins(last=greatest))
 
 
 _ESTIMATE = f"""{_CONN}, first AS (SELECT read_id, kmer, min(pos) AS pos FROM sdk_occ GROUP BY 1, 2),
