@@ -12,7 +12,7 @@ from tokenloom.operators import components as C
 from tokenloom.operators import connections as N
 from tokenloom.operators import counting as K
 from tokenloom.operators import spectral, trees
-from tokenloom.operators.components import checkpointed
+from tokenloom.sources.shared import checkpointed
 
 
 @dataclass(frozen=True)
