@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tokenloom.functions.tokens import basename, canonical, hash_share
+from tokenloom.functions.tokens import canonical, hash_share
 
 SCHEMA = "read_id bigint, header string, sequence string, qualities string, category_id int, start bigint, end bigint"
 
@@ -23,33 +23,63 @@ def sniff(spark: SparkSession, path: str) -> str:
     raise ValueError(f"{path} is neither FASTQ nor FASTA")
 
 
-def _numbered(spark: SparkSession, path: str) -> DataFrame:
-    """(n, value): a file's lines with their numbers from 0.
+def _numbered(spark: SparkSession, paths: list[str], separator: str | None = None) -> DataFrame:
+    """(path_no, file, n, value): the lines of all files below each path, with their numbers from 0 within a file.
 
-    Each partition's lines are counted first; the numbers are sums of these counts, so no
-    line is moved.  Splits of a file come in the order of their places.
+    A task's rows of one split stand in the file's order, so a line's number is its place in
+    the split plus the lines of the file's splits before it.  Splits are counted first (one
+    row each), and no line is moved, in whatever order Spark deals the splits out.
     """
-    lines = spark.read.text(path)
-    schema = "n bigint, value string"
-    return spark.createDataFrame(lines.rdd.zipWithIndex().map(lambda r: (r[1], r[0][0])), schema)
+    reader = spark.read if separator is None else spark.read.option("lineSep", separator)
+    lines = None
+    for k, path in enumerate(paths):
+        one = reader.text(path).select(F.lit(k).alias("path_no"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), "value")
+        lines = one if lines is None else lines.unionByName(one)
+    split = ["path_no", "file", "block"]
+    sizes = lines.groupBy(*split).agg(F.count("*").alias("lines"), F.min("id").alias("first"))
+    before = W.partitionBy("path_no", "file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select(*split, "first", F.coalesce(F.sum("lines").over(before), F.lit(0)).alias("before"))
+    # One row per split of the input, 128 MB of text by default: a million rows are 128 TB.
+    numbered = lines.join(F.broadcast(offsets), split)
+    return numbered.select("path_no", "file", (F.col("id") - F.col("first") + F.col("before")).alias("n"), "value")
 
 
-def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """(n, header, sequence, qualities) of a FASTQ file, four lines a record; an incomplete last record is left out."""
-    four = _numbered(spark, path).groupBy((F.col("n") / 4).cast("bigint").alias("r")).agg(*(F.max(F.when(F.col("n") % 4 == k, F.col("value"))).alias(c) for k, c in ((0, "h"), (1, "sequence"), (3, "qualities"))))
-    return four.where("qualities IS NOT NULL").select(F.col("r").alias("n"), F.expr("substring(h, 2)").alias("header"), "sequence", "qualities")
+def _placed(records: DataFrame) -> DataFrame:
+    """(path_no, n, header, sequence, qualities): records numbered from 0 within their path, file by file in the order of their names."""
+    sizes = records.groupBy("path_no", "file").agg((F.max("r") + 1).alias("records"))
+    before = W.partitionBy("path_no").orderBy("file").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select("path_no", "file", F.coalesce(F.sum("records").over(before), F.lit(0)).alias("before"))
+    return records.join(F.broadcast(offsets), ["path_no", "file"]).select("path_no", (F.col("r") + F.col("before")).alias("n"), "header", "sequence", "qualities")
 
 
-def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(n, header, sequence, qualities) of a FASTA file; sequences may be wrapped over many lines.
+def _fastq(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path_no, file, r, header, sequence, qualities): four lines a record; an incomplete last record of a file is left out."""
+    line = lambda k: F.max(F.when(F.col("n") % 4 == k, F.rtrim(F.col("value"), F.lit("\r"))))
+    four = _numbered(spark, paths).groupBy("path_no", "file", (F.col("n") / 4).cast("bigint").alias("r")).agg(line(0).alias("h"), line(1).alias("sequence"), line(3).alias("qualities"))
+    return four.where("qualities IS NOT NULL").select("path_no", "file", "r", F.expr("substring(h, 2)").alias("header"), "sequence", "qualities")
+
+
+def _fasta(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path_no, file, r, header, sequence, qualities); sequences may be wrapped over many lines.
 
     Records are split at line starts with `>` by the text reader itself, which a task does
-    for its share of the file.
+    for its share of a file.
     """
-    parts = spark.read.option("lineSep", "\n>").text(path)
-    numbered = spark.createDataFrame(parts.rdd.zipWithIndex().map(lambda r: (r[1], r[0][0])), "n bigint, value string")
-    text = F.regexp_replace("value", "^>", "")
-    return numbered.select("n", F.trim(F.substring_index(text, "\n", 1), F.lit("\r")).alias("header"), F.regexp_replace(F.expr("substring(regexp_replace(value, '^>', ''), length(substring_index(regexp_replace(value, '^>', ''), '\n', 1)) + 2)"), r"\s", "").alias("sequence"), F.lit(None).cast("string").alias("qualities")).where("header <> '' OR sequence <> ''")
+    parts = _numbered(spark, paths, "\n>").withColumn("value", F.regexp_replace("value", "^>", ""))
+    header = F.substring_index("value", "\n", 1)
+    body = F.regexp_replace(F.substring(F.col("value"), F.length(header) + 2, F.length("value")), r"\s+", "")
+    own = parts.select("path_no", "file", F.col("n").alias("r"), F.trim(header, F.lit("\r")).alias("header"), body.alias("sequence"), F.lit(None).cast("string").alias("qualities"))
+    return own.where("header <> '' OR sequence <> ''")
+
+
+def read_fastq(spark: SparkSession, path: str) -> DataFrame:
+    """(n, header, sequence, qualities) of a FASTQ file or of a folder of them."""
+    return _placed(_fastq(spark, [path])).drop("path_no")
+
+
+def read_fasta(spark: SparkSession, path: str) -> DataFrame:
+    """(n, header, sequence, qualities) of a FASTA file or of a folder of them."""
+    return _placed(_fasta(spark, [path])).drop("path_no")
 
 
 # Header forms of read simulators: pattern, group of the start, and how the length comes from the groups.
@@ -84,17 +114,21 @@ def with_origin(records: DataFrame, form: Column | str | None = None) -> DataFra
 def read_records(spark: SparkSession, paths: list[str], annotate: bool = True) -> DataFrame:
     """Records of several files, in SCHEMA; ids go on from file to file from 1, categories are the files' numbers (0: annotate is off).
 
-    Each file's format is sniffed, and its first header decides on the form of all its headers.
+    Each file's format is sniffed, and its first header decides on the form of all its
+    headers.  All files of a format are one scan, whose records are numbered together.
     """
-    out, before = None, 0
-    for k, path in enumerate(paths):
-        r = read_fastq(spark, path) if sniff(spark, path) == "fastq" else read_fasta(spark, path)
-        first = r.orderBy("n").select(header_form(F.col("header")).alias("f")).first()
-        r = with_origin(r, (first["f"] if first else None) or "none")
-        one = r.select((F.col("n") + 1 + before).alias("read_id"), "header", "sequence", "qualities", F.lit(k if annotate else 0).alias("category_id"), "start", "end")
-        before += r.count()
-        out = one if out is None else out.unionByName(one)
-    return out
+    forms = [sniff(spark, p) for p in paths]
+    out = None
+    for form, reader in (("fastq", _fastq), ("fasta", _fasta)):
+        own = [k for k, f in enumerate(forms) if f == form]
+        if own:
+            r = _placed(reader(spark, [paths[k] for k in own])).withColumn("path_no", F.element_at(F.array(*map(F.lit, own)), F.col("path_no") + 1))
+            out = r if out is None else out.unionByName(r)
+    each = out.groupBy("path_no").agg((F.max("n") + 1).alias("records"), F.min_by(header_form(F.col("header")), "n").alias("form"))
+    before = W.orderBy("path_no").rowsBetween(W.unboundedPreceding, -1)  # one row per path
+    files = each.select("path_no", "form", F.coalesce(F.sum("records").over(before), F.lit(0)).alias("before"))
+    r = with_origin(out.join(F.broadcast(files), "path_no"), F.coalesce("form", F.lit("none")))
+    return r.select((F.col("n") + 1 + F.col("before")).alias("read_id"), "header", "sequence", "qualities", (F.col("path_no") if annotate else F.lit(0)).alias("category_id"), "start", "end")
 
 
 def file_statistics(records: DataFrame, key: str = "category_id") -> DataFrame:
@@ -104,17 +138,13 @@ def file_statistics(records: DataFrame, key: str = "category_id") -> DataFrame:
     return records.rollup(key).agg(F.count("*").alias("records"), F.min(n).alias("min_length"), F.max(n).alias("max_length"), F.floor(total / F.count("*")).alias("avg_length"), total.alias("total_bases"))
 
 
-def file_names(paths: list[str], spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(k, p) for k, p in enumerate(paths)], "category_id int, path string").withColumn("name", basename(F.col("path")))
-
-
 def read_token_list(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
     """(kmer) of a list with one token a line, canonical and each once; and the length of the last line."""
     lines = spark.read.text(path).select(F.trim("value").alias("kmer")).where("kmer <> ''")
-    last = _numbered(spark, path).where("trim(value) <> ''").orderBy(F.desc("n")).first()
+    last = _numbered(spark, [path]).where("trim(value) <> ''").agg(F.max_by(F.length(F.trim("value")), F.struct("file", "n")).alias("n")).first()["n"]
     if last is None:
         raise ValueError(f"{path} has no token")
-    return lines.select(canonical(F.col("kmer")).alias("kmer")).distinct(), len(last["value"].strip())
+    return lines.select(canonical(F.col("kmer")).alias("kmer")).distinct(), last
 
 
 def parse_counts(lines: DataFrame) -> DataFrame:
@@ -171,7 +201,3 @@ def subsampled(records: DataFrame, wanted: int, seed: int = 1) -> DataFrame:
     clean = records.where(~F.contains(F.col("sequence"), F.lit("N")))
     return clean.where(hash_share(F.col("read_id"), seed) < share)
 
-
-def line_order(df: DataFrame, key: str, order: str) -> DataFrame:
-    """df with its ordinal within key, from 0."""
-    return df.withColumn("ordinal", F.row_number().over(W.partitionBy(key).orderBy(order)) - 1)
