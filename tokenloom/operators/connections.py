@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tokenloom.sources.shared import checkpointed
+
 #: Token tables up to so many rows are broadcast to the scan (16 bytes each); beyond it, both sides are shuffled.
 BROADCAST_TOKENS = 4_000_000
 
@@ -82,9 +84,22 @@ def top_fraction(edges: DataFrame, fraction: float = 0.15) -> DataFrame:
     if cut is None:
         return edges
     whole = edges.where(F.col("score") > cut)
-    # The cut score's edges, in an order that needs the limit's remainder only.
-    part = edges.where(F.col("score") == cut).orderBy(F.least("x", "y"), F.greatest("x", "y"), "x").limit(limit - taken)
-    return whole.unionByName(part)
+    part = edges.where(F.col("score") == cut).withColumns({"__a__": F.least("x", "y"), "__b__": F.greatest("x", "y")})
+    return whole.unionByName(_first(part, ["__a__", "__b__", "x"], limit - taken).drop("__a__", "__b__"))
+
+
+def _first(rows: DataFrame, order: list[str], n: int) -> DataFrame:
+    """The first n rows of an order, without a task that sees n of them.
+
+    Rows are dealt into ranges of the order; the ranges' sizes, one row each, say how many of
+    each range's rows are in, and each range is cut by itself.
+    """
+    dealt = checkpointed(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p__", F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy("__p__").agg(F.count("*").alias("k"))
+    before = W.orderBy("__p__").rowsBetween(W.unboundedPreceding, -1)  # one row per range
+    room = sizes.select("__p__", (F.lit(n) - F.coalesce(F.sum("k").over(before), F.lit(0))).alias("__room__"))
+    ranked = dealt.join(F.broadcast(room.where("__room__ > 0")), "__p__").withColumn("__k__", F.row_number().over(W.partitionBy("__p__").orderBy(*order)))
+    return ranked.where(F.col("__k__") <= F.col("__room__")).drop("__p__", "__room__", "__k__")
 
 
 def with_quality(edges: DataFrame, categories: DataFrame) -> DataFrame:
@@ -132,7 +147,3 @@ def multiset_intersection(mult: DataFrame, x: Column, y: Column, record: str = "
     own = mult.where(F.col(record).isin(x, y)).groupBy("token").agg(F.count("*").alias("n"), F.min("m").alias("m")).where("n = 2")
     return own.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("shared"))
 
-
-def ranked(edges: DataFrame) -> DataFrame:
-    """Edges of each vertex by score, with their rank."""
-    return edges.withColumn("rank", F.row_number().over(W.partitionBy("x").orderBy(F.desc("score"), "y")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from bisect import bisect_left, insort
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
@@ -55,39 +56,66 @@ def cost_of(near: dict[int, dict[int, float]], a: set[int]) -> float:
     return sum(w for v in a for u, w in near[v].items() if u not in a)
 
 
+def _best_swap(left: list[int], right: list[int], delta: dict[int, float], near: dict) -> tuple[float, int, int]:
+    """(gain, x, y) of the best swap; sides in the order of falling delta, the first of equal gains counts.
+
+    A gain is at most the sum of its two deltas, so the search along the ordered sides ends
+    as soon as that sum is no more than the best gain found.
+    """
+    best = (-float("inf"), left[0], right[0])
+    for x in left:
+        if delta[x] + delta[right[0]] <= best[0]:
+            break
+        own = near[x]
+        for y in right:
+            both = delta[x] + delta[y]
+            if both <= best[0]:
+                break
+            if (gain := both - 2 * own.get(y, 0)) > best[0]:
+                best = (gain, x, y)
+    return best
+
+
 def _pass(near: dict, a: set[int], b: set[int], narrow: int | None) -> tuple[list[tuple[int, int]], float]:
     """Greedy swaps until one side is used up; the first ones whose gains sum highest, and that sum.
 
-    narrow: how many of each side's best vertices are tried for a swap; None tries all pairs.
+    narrow: how many of each side's best vertices are tried for a swap; None finds the best
+    of all pairs.  The sides stay sorted; a swap moves its neighbours only.
     """
     delta = {v: sum(w if (u in a) != (v in a) else -w for u, w in near[v].items()) for v in near}
-    left, right = set(a), set(b)
+    key = lambda v: (-delta[v], v)
+    sides = [sorted(s, key=key) for s in (a, b)]
+    at = {v: k for k, s in enumerate((a, b)) for v in s}
     swaps, gains = [], []
-    while left and right:
-        tops = [sorted(s, key=lambda v: (-delta[v], v))[:narrow] for s in (left, right)]
-        gain, x, y = max(((delta[x] + delta[y] - 2 * near[x].get(y, 0), -x, -y) for x in tops[0] for y in tops[1]))
-        x, y = -x, -y
+    while sides[0] and sides[1]:
+        gain, x, y = _best_swap(*(s[:narrow] for s in sides) if narrow else sides, delta, near)
         swaps.append((x, y))
         gains.append(gain)
-        left.discard(x)
-        right.discard(y)
-        for v, own in ((x, a), (y, b)):
-            for u, w in near[v].items():
-                if u in left or u in right:
-                    delta[u] += 2 * w if (u in own) else -2 * w
-    best, total, at = 0.0, 0.0, 0
+        for v in (x, y):
+            del sides[at[v]][bisect_left(sides[at[v]], key(v), key=key)]
+        moved = {u for v in (x, y) for u in near[v] if u in at} - {x, y}
+        own = {x: at.pop(x), y: at.pop(y)}
+        for u in moved:
+            side = sides[at[u]]
+            del side[bisect_left(side, key(u), key=key)]
+            for v, k in own.items():
+                if u in near[v]:
+                    delta[u] += 2 * near[v][u] if at[u] == k else -2 * near[v][u]
+            insort(side, u, key=key)
+    best, total, last = 0.0, 0.0, 0
     for k, g in enumerate(gains, 1):
         total += g
         if total > best:
-            best, at = total, k
-    return swaps[:at], best
+            best, last = total, k
+    return swaps[:last], best
 
 
 def bisect(edges: DataFrame, seed: int = 1, narrow: int | None = None, max_rounds: int = 50) -> tuple[set[int], set[int], float]:
     """Two halves of the graph and their cut cost, by Kernighan and Lin's passes from a random split.
 
-    narrow=None tries all pairs in a pass; a small number (5, say) only each side's best
-    vertices, which is faster and nearly as good.
+    narrow=None finds the best of all pairs in a pass; a small number (5, say) tries only each
+    side's best vertices, which is faster and nearly as good.  The graph is held on the
+    driver, up to MAX_EDGES edges; a larger one is an error.
     """
     near = _graph(edges)
     a, b = split_half(near, seed)

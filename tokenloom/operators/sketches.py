@@ -65,8 +65,21 @@ def count_sketch(tokens: DataFrame, keys: list[str] | None = None, column: str =
     return tokens.groupBy(*(keys or [])).agg(F.count_min_sketch(F.col(column), F.lit(eps), F.lit(confidence), F.lit(seed)).alias("sketch"))
 
 
+def count_min(tokens: DataFrame, depth: int, width: int, column: str = "token", seed: int = 1) -> DataFrame:
+    """(row, cell, n): a count-min sketch as a table of its counters, built by aggregation; tables add up to that of all tokens."""
+    cells = F.array(*(F.struct(F.lit(r).alias("row"), F.pmod(F.xxhash64(column, F.lit(seed * 47 + r)), F.lit(width)).alias("cell")) for r in range(depth)))
+    return tokens.groupBy(column).agg(F.count("*").alias("__n__")).select(F.explode(cells).alias("c"), "__n__").groupBy("c.row", "c.cell").agg(F.sum("__n__").alias("n"))
+
+
+def count_min_estimates(tokens: DataFrame, sketch: DataFrame, depth: int, width: int, column: str = "token", seed: int = 1) -> DataFrame:
+    """(token, estimate) of distinct tokens: the least of their counters, 0 where one is missing."""
+    cells = F.array(*(F.struct(F.lit(r).alias("row"), F.pmod(F.xxhash64(column, F.lit(seed * 47 + r)), F.lit(width)).alias("cell")) for r in range(depth)))
+    asked = tokens.select(column).distinct().select(column, F.explode(cells).alias("c")).select(column, "c.row", "c.cell")
+    return asked.join(sketch, ["row", "cell"], "left").groupBy(column).agg(F.min(F.coalesce("n", F.lit(0))).alias("estimate"))
+
+
 def saved(sketches: DataFrame, path: str, mode: str = "error") -> None:
-    """Sketches are binary columns, so a table of them is stored like any other."""
+    """Sketches are rows of counters, words or binary columns, so they are stored like any other table."""
     sketches.write.mode(mode).parquet(path)
 
 

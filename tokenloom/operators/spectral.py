@@ -167,12 +167,12 @@ def by_centroid_distance(points: DataFrame, key: str, item: str, values: str) ->
 
 
 def kmeans_step(points: DataFrame, centres: list[list[float]], item: str, values: str) -> DataFrame:
-    """(item, cluster, distance): nearest centre by squared distance, the first among equals."""
+    """(item, values, cluster, distance): nearest centre by squared distance, the first among equals."""
     def to(c):
         return F.aggregate(F.zip_with(F.col(values), F.array(*(F.lit(float(v)) for v in c)), lambda a, b: F.pow(a.cast("double") - b, F.lit(2))), F.lit(0.0), lambda s, v: s + v)
 
     best = F.array_min(F.array(*(F.struct(to(c).alias("distance"), F.lit(k).alias("cluster")) for k, c in enumerate(centres))))
-    return points.select(item, best["cluster"].alias("cluster"), best["distance"].alias("distance"))
+    return points.select(item, values, best.alias("__b__")).select(item, values, "__b__.cluster", "__b__.distance")
 
 
 def kmeans(points: DataFrame, k: int, item: str, values: str, rounds: int = 100, tolerance: float = 1e-10) -> tuple[DataFrame, list[list[float]]]:
@@ -180,8 +180,7 @@ def kmeans(points: DataFrame, k: int, item: str, values: str, rounds: int = 100,
     start = points.groupBy(values).agg(F.min(F.xxhash64(item)).alias("h")).orderBy("h").limit(k).collect()  # k rows
     centres = [[float(v) for v in r[values]] for r in start]
     for _ in range(rounds):
-        near = kmeans_step(points, centres, item, values).select(item, "cluster").join(points, item)
-        means = near.select("cluster", F.posexplode(values).alias("d", "v")).groupBy("cluster", "d").agg(F.avg("v").alias("m")).collect()  # k centres
+        means = kmeans_step(points, centres, item, values).select("cluster", F.posexplode(values).alias("d", "v")).groupBy("cluster", "d").agg(F.avg("v").alias("m")).collect()  # k centres
         new = [list(c) for c in centres]
         for r in means:
             new[r["cluster"]][r["d"]] = r["m"]
