@@ -198,3 +198,81 @@ def test_stream_counts_equal_batch_counts(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out")).groupBy("token", "category_id").agg(F.sum("cnt").alias("cnt"))
     key = lambda rows: sorted((r["token"], r["category_id"], r["cnt"]) for r in rows)
     assert key(got.collect()) == key(counts_by_category(df, 5).collect())
+
+
+def test_folders_of_files_keep_their_records(spark, tmp_path):
+    """Splits of several files come in any order; each line is numbered within its own file."""
+    r = random.Random(1)
+    want = []
+    (tmp_path / "fq").mkdir()
+    for f, n in (("a", 400), ("b", 700), ("c", 3)):
+        own = [(f"{f}{i}", "".join(r.choice("ACGT") for _ in range(r.randint(0, 120)))) for i in range(n)]
+        (tmp_path / "fq" / f"{f}.fastq").write_text("".join(f"@{h}\n{s}\n+\n{'@' * len(s)}\n" for h, s in own) + ("@cut\nAC\n" if f == "a" else ""))
+        want += own
+    (tmp_path / "x.fasta").write_text("".join(f">x{i}\n{'ACGT' * (i % 7)}\n{'GG' * (i % 3)}\n" for i in range(500)))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "100")
+        got = R.read_fastq(spark, str(tmp_path / "fq")).orderBy("n").collect()
+        both = R.read_records(spark, [str(tmp_path / "x.fasta"), str(tmp_path / "fq")]).orderBy("read_id").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert [(x["header"], x["sequence"]) for x in got] == want and all(x["qualities"] == "@" * len(x["sequence"]) for x in got)
+    assert [x["read_id"] for x in both] == list(range(1, 501 + len(want)))
+    assert [(x["header"], x["category_id"]) for x in both] == [(f"x{i}", 0) for i in range(500)] + [(h, 1) for h, _ in want]
+    assert both[5]["sequence"] == "ACGT" * 5 + "GG" * 2
+
+
+def test_distances_are_whole_or_an_error(spark):
+    path = spark.createDataFrame([(i, i + 1, 10) for i in range(9)], "x bigint, y bigint, overlap bigint")
+    lengths = spark.createDataFrame([(i, 100) for i in range(10)], "read_id bigint, length bigint")
+    want = {i: (0, 100 + 90 * i) for i in range(10)}
+    key = lambda df: {r["read_id"]: (r["root"], r["distance"]) for r in df.collect()}
+    roots = spark.createDataFrame([(0,)], "read_id bigint")
+    assert key(trees.distances(path, roots, lengths)) == want == key(trees.rooted_distances(path, lengths))
+    with pytest.raises(RuntimeError):
+        trees.distances(path, roots, lengths, max_rounds=3)
+    with pytest.raises(RuntimeError):
+        trees.rooted_distances(spark.createDataFrame([(1, 2, 0), (2, 1, 0), (3, 1, 0)], "x bigint, y bigint, overlap bigint"), lengths, max_rounds=5)
+    with pytest.raises(RuntimeError):
+        trees.spanning_forest(path.select("x", "y", F.col("overlap").alias("score")), max_rounds=0)
+
+
+def test_few_edges_and_many_give_the_same_components(spark):
+    r = random.Random(3)
+    e = spark.createDataFrame([(r.randint(0, 300), r.randint(0, 300)) for _ in range(200)] + [(1, 1), (None, 5)], "x bigint, y bigint")
+    assert sorted(C.connected_components(e).collect()) == sorted(C.connected_components(e, few=0).collect())
+
+
+def test_ranges_of_a_hot_key_unite_as_one(spark):
+    r = random.Random(4)
+    rows = [(k, s, s + r.randint(1, 9)) for k in (0, None) for s in (r.randint(0, 900) for _ in range(300))]
+    got = sorted((str(x["k"]), x["start"], x["end"]) for x in intervals.interval_union(spark.createDataFrame(rows, "k int, start bigint, end bigint"), ["k"]).collect())
+    want = []
+    for k in (0, None):
+        own = []
+        for _, s, e in sorted(x for x in rows if x[0] == k) if k == 0 else sorted((x for x in rows if x[0] is None), key=lambda x: x[1:]):
+            if own and s < own[-1][2]:
+                own[-1] = (str(k), own[-1][1], max(own[-1][2], e))
+            else:
+                own.append((str(k), s, e))
+        want += own
+    assert got == sorted(want)
+
+
+def test_shares_of_near_ids_are_independent(spark):
+    x = [r["h"] for r in spark.range(20000).select(T.hash_share(F.col("id")).alias("h")).collect()]
+    assert abs(np.mean(x) - 0.5) < 0.01 and abs(np.corrcoef(x[1:], x[:-1])[0, 1]) < 0.03
+
+
+def test_shared_folder_must_be_named_on_a_cluster():
+    from types import SimpleNamespace as O
+
+    from tokenloom.sources.shared import shared_dir
+
+    session = lambda master, path: O(sparkContext=O(master=master, getConf=lambda: O(get=lambda k: path)), conf=O(get=lambda k, d=None: d))
+    assert shared_dir(session("yarn", "hdfs:///x/")) == "hdfs:///x" and shared_dir(session("local[4]", None)).startswith("file:")
+    with pytest.raises(RuntimeError):
+        shared_dir(session("spark://host:7077", None))

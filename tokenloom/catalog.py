@@ -12,11 +12,11 @@ from tokenloom.operators import components as C
 from tokenloom.operators import connections as N
 from tokenloom.operators import counting as K
 from tokenloom.operators import intervals, metrics, partitioning, sketches, spectral, trees
-from tokenloom.operators.components import checkpointed
 from tokenloom.plans import programs
 from tokenloom.plans.views import CONNECTIONS, READS, band, components_sql, occurrences, reads, table
 from tokenloom.sources import generators
 from tokenloom.sources import records as R
+from tokenloom.sources.shared import checkpointed, forget_at_exit, new_path
 
 SIZE, LOW, HIGH, STRONG = 19, 4, 12, 20
 
@@ -51,6 +51,11 @@ def _band(s: SparkSession, d: str) -> DataFrame:
 
 
 def _occurrences(s: SparkSession, d: str) -> DataFrame:
+    """Occurrences of the band's tokens.
+
+    Records are read and made into tokens twice, once without positions for the band; to keep
+    all occurrences (16 bytes a letter) for the second use would write many times the input.
+    """
     return checkpointed(N.selected_occurrences(T.tokenise(reads(s, d), SIZE), _band(s, d)))
 
 
@@ -58,6 +63,10 @@ def _edges(s: SparkSession, d: str, min_score: int = 1) -> DataFrame:
     return N.connections(N.multiplicities(_occurrences(s, d)), min_score=min_score)
 
 
+def _edges_of(occ: DataFrame, min_score: int) -> DataFrame:
+    return N.connections(N.multiplicities(occ), min_score=min_score)
+
+
 def _members(s: SparkSession, d: str) -> DataFrame:
     return C.components_of(_edges(s, d, STRONG))
 
@@ -73,6 +82,10 @@ def _code(kmer: str, k: int) -> str:
     return " + ".join(f"(strpos('ACGT', substr({kmer}, {i + 1}, 1)) - 1) * {4 ** (k - 1 - i)}" for i in range(k))
 
 
+def _share(key: str, seed: int = 1) -> str:
+    return f"CAST('0x' || substr(md5(CAST(CAST({key} AS BIGINT) AS VARCHAR) || ':{seed}'), 1, 8) AS UBIGINT) / 4294967296"
+
+
 def _bounds(thresholds: tuple[float, ...], value: str) -> str:
     return "CASE " + " ".join(f"WHEN {value} < {t} THEN CAST({t} AS DOUBLE)" for t in thresholds) + " END"
 
@@ -164,7 +177,7 @@ def sdk_band(s, d):
     return K.with_string(t, SIZE).select("kmer", "total", "categories", K.is_discriminative(F.col("categories")).alias("discriminative"))
 
 
-@query(f"{_SDK} SELECT kmer, total FROM sdk WHERE ((({_code('kmer', SIZE)}) % 1000003) * 7919 + 104729) % 1000003 / 1000003 < 0.25")
+@query(f"{_SDK} SELECT kmer, total FROM sdk WHERE {_share(_code('kmer', SIZE))} < 0.25")
 def kmer_sample(s, d):
     return K.with_string(K.sampled(K.band(K.token_totals(reads(s, d), SIZE), LOW, HIGH), 0.25), SIZE).select("kmer", "total")
 
@@ -229,17 +242,54 @@ def count_lines(s, d):
     return R.parse_counts(c.select(F.concat_ws(" ", "kmer", F.col("total").cast("string")).alias("value")))
 
 
-@query(f"WITH {READS} SELECT DISTINCT least(w, reverse(translate(w, 'ACGT', 'TGCA'))) AS kmer FROM (SELECT substr(sequence, 1, 11) AS w FROM reads WHERE length(sequence) >= 11)")
+@query(f"WITH {READS} SELECT DISTINCT least(w, reverse(translate(w, 'ACGT', 'TGCA'))) AS kmer FROM (SELECT substr(sequence, i, 11) AS w FROM reads, LATERAL (SELECT unnest(range(1, length(sequence) - 9)) AS i) WHERE length(sequence) >= 11)")
 def token_list(s, d):
-    """Tokens given as strings on either strand, each once in canonical form."""
-    return reads(s, d).where(F.length("sequence") >= 11).select(T.canonical(F.substring("sequence", 1, 11)).alias("kmer")).distinct()
+    """All tokens as strings on either strand, written as a list, one a line, and read from it in canonical form."""
+    path = new_path(s, "list")
+    R.write_tokens(K.with_string(T.tokenise(reads(s, d), 11, (), positions=False).distinct(), 11), path)
+    forget_at_exit(s, path)
+    return R.read_token_list(s, path)[0]
 
 
-@query(f"WITH {READS} SELECT read_id, header, sequence FROM reads WHERE strpos(sequence, 'N') = 0 AND ((read_id % 1000003) * 7919 + 104729) % 1000003 / 1000003 < least(1.0, 250.0 / (SELECT count(*) FROM reads))")
+@query(f"WITH {READS} SELECT read_id, header, sequence FROM reads WHERE strpos(sequence, 'N') = 0 AND {_share('read_id')} < least(1.0, 250.0 / (SELECT count(*) FROM reads))")
 def read_subsample(s, d):
     return R.subsampled(reads(s, d), 250).select("read_id", "header", "sequence")
 
 
+def _file_of(s: SparkSession, d: str, form: str) -> str:
+    """All reads, written as a folder of files of that form."""
+    path = new_path(s, form)
+    own = reads(s, d, with_qualities=True)
+    R.write_records(own.select("header", *(F.coalesce(c, F.lit("")).alias(c) for c in ("sequence", "qualities"))), path, form)
+    forget_at_exit(s, path)
+    return path
+
+
+@query(f"WITH {READS} SELECT header, coalesce(sequence, '') AS sequence, coalesce(qualities, '') AS qualities FROM reads")
+def fastq_files(s, d):
+    """Records written as FASTQ files and read back, from as many splits as there are."""
+    return R.read_fastq(s, _file_of(s, d, "fastq")).drop("n")
+
+
+@query(f"WITH {READS} SELECT header, coalesce(sequence, '') AS sequence, 1 AS category_id FROM reads UNION ALL SELECT header, coalesce(sequence, ''), 0 FROM reads")
+def record_files(s, d):
+    """A FASTA and a FASTQ folder, sniffed and read as one collection."""
+    paths = [_file_of(s, d, form) for form in ("fasta", "fastq")]
+    r = R.read_records(s, paths)
+    ids = r.agg(F.min("read_id").alias("a"), F.max("read_id").alias("z"), F.count_distinct("read_id").alias("k"), F.count("*").alias("n")).first()
+    assert not ids["n"] or (ids["a"], ids["z"], ids["k"]) == (1, ids["n"], ids["n"]), ids
+    return r.select("header", "sequence", "category_id")
+
+
+@query(f"{_OCC} SELECT kmer, count(*) AS cnt FROM occ GROUP BY 1")
+def count_files(s, d):
+    """Counts written as sorted lines `KMER COUNT` and read back."""
+    path = new_path(s, "counts")
+    R.write_counts(K.with_string(K.token_totals(reads(s, d), SIZE), SIZE).withColumnRenamed("total", "cnt"), path)
+    forget_at_exit(s, path)
+    return R.read_counts(s, path)
+
+
 # Connections.
 
 
@@ -304,15 +354,13 @@ def overlap_by_score(s, d):
     return N.overlap_by_score(_edges(s, d), reads(s, d))
 
 
-_BINS = metrics.geometric_bins(last=5000)
+_BINS = metrics.geometric_bins(last=1e18)  # beyond any score
 _BINS_SQL = "CASE " + " ".join(f"WHEN score >= CAST('{low!r}' AS DOUBLE) AND score < CAST('{high!r}' AS DOUBLE) THEN {k}" for k, low, high in _BINS) + " END"
 
 
-@query(f"{_BY_SCORE}, b AS (SELECT {_BINS_SQL} AS bin, overlap, edges FROM bs) SELECT bin, CAST(sum(edges) AS BIGINT) AS edges, sum(overlap * edges) / sum(edges) AS mean_overlap, min(overlap) AS min_overlap FROM b WHERE bin IS NOT NULL GROUP BY 1")
+@query(f"{_BY_SCORE}, b AS (SELECT {_BINS_SQL} AS bin, overlap, edges FROM bs) SELECT bin, CAST(sum(edges) AS BIGINT) AS edges, sum(overlap * edges) / sum(edges) AS mean_overlap, min(overlap) AS min_overlap FROM b GROUP BY 1")
 def overlap_bins(s, d):
-    by_score = checkpointed(N.overlap_by_score(_edges(s, d), reads(s, d)))
-    greatest = by_score.agg(F.max("score")).first()[0] or 0
-    return metrics.binned_overlaps(by_score, metrics.geometric_bins(last=greatest))
+    return metrics.binned_overlaps(checkpointed(N.overlap_by_score(_edges(s, d), reads(s, d))))
 
 
 _ESTIMATE = f"""{_CONN}, first AS (SELECT read_id, kmer, min(pos) AS pos FROM sdk_occ GROUP BY 1, 2),
@@ -489,9 +537,8 @@ _DIST = f"""{_PARENT}, dist AS (SELECT DISTINCT t.x AS read_id, t.x AS root, CAS
 def _distances(s, d) -> tuple[DataFrame, DataFrame]:
     est = checkpointed(_estimates(s, d))
     tree = checkpointed(trees.best_parents(est).join(est.select("x", "y", "overlap"), ["x", "y"]).select("x", "y", "overlap"))
-    roots = tree.select(F.col("x").alias("read_id")).distinct().join(tree.select(F.col("y").alias("read_id")), "read_id", "left_anti")
     lengths = reads(s, d).select("read_id", F.length("sequence").alias("length"))
-    return trees.distances(tree, roots, lengths), lengths
+    return trees.rooted_distances(tree, lengths), lengths
 
 
 @query(f"{_DIST} SELECT * FROM dist")
@@ -518,22 +565,6 @@ def tail_overlap_scores(s, d):
     return trees.tail_overlaps(side, occ)
 
 
-@query(f"{_COMP}, {_SIDES} SELECT component_id, side, read_id FROM sides WHERE read_id % 5 = 0 UNION SELECT component_id, side, y FROM sides JOIN conn ON x = read_id WHERE read_id % 5 = 0 AND score >= 40")
-def tail_amplification(s, d):
-    e = checkpointed(_edges(s, d))
-    m = C.components_of(e.where(F.col("score") >= STRONG))
-    side = m.where("read_id % 5 = 0").withColumn("side", F.when(F.col("read_id") % 2 == 0, "L").otherwise("R"))
-    return trees.amplified(side, e, 40)
-
-
-@query(f"{_COMP}, {_SIDES} SELECT comp.read_id AS id, comp.component_id, coalesce(sides.side, 'N') AS mark FROM comp LEFT JOIN sides ON sides.read_id = comp.read_id AND comp.read_id % 5 = 0")
-def tree_export_nodes(s, d):
-    e = checkpointed(_edges(s, d, STRONG))
-    m = C.components_of(e)
-    side = m.where("read_id % 5 = 0").withColumn("side", F.when(F.col("read_id") % 2 == 0, "L").otherwise("R"))
-    return trees.exported(e, m, side)[0]
-
-
 @query(f"{_COMP} SELECT (SELECT count(*) FROM comp) - (SELECT count(DISTINCT component_id) FROM comp) AS edges, (SELECT count(*) FROM comp) AS vertices")
 def forest_size(s, d):
     """A spanning forest has as many edges as vertices less components."""
@@ -542,18 +573,69 @@ def forest_size(s, d):
     return f.select(F.col("x").alias("v")).union(f.select("y")).distinct().agg(F.lit(f.count()).cast("bigint").alias("edges"), F.count("*").alias("vertices"))
 
 
-@query()
+# Kruskal's algorithm over the edges in their order, with one list of labels as its state.
+_FOREST = f"""{_ESTIMATE.replace("WITH ", "WITH RECURSIVE ", 1)}, vx AS MATERIALIZED (SELECT x AS v, row_number() OVER (ORDER BY x) AS i FROM (SELECT DISTINCT x FROM strong)),
+ev AS MATERIALIZED (SELECT x, y, score, a.i AS ix, b.i AS iy, row_number() OVER (ORDER BY score DESC, x, y) AS k FROM strong JOIN vx a ON a.v = x JOIN vx b ON b.v = y WHERE x < y),
+kr AS (SELECT CAST(0 AS BIGINT) AS k, (SELECT list(i ORDER BY i) FROM vx) AS lab, false AS took
+  UNION ALL SELECT ev.k, CASE WHEN lab[ix] = lab[iy] THEN lab ELSE list_transform(lab, lambda v: CASE WHEN v = greatest(lab[ix], lab[iy]) THEN least(lab[ix], lab[iy]) ELSE v END) END, lab[ix] <> lab[iy] FROM kr JOIN ev ON ev.k = kr.k + 1),
+forest AS MATERIALIZED (SELECT x, y, score FROM kr JOIN ev USING (k) WHERE took)"""
+
+
+@query(f"{_FOREST} SELECT * FROM forest")
 def max_spanning_forest(s, d):
     return trees.spanning_forest(_edges(s, d, STRONG))
 
 
-@query()
-def longest_path_tails(s, d):
+def _walk(name: str, start: str) -> str:
+    """Distances in the forest from one start in each tree, and the farthest record of each, as SQL."""
+    return f"""{name} AS (SELECT c, v, v AS before, CAST(length(sequence) AS BIGINT) AS distance FROM ({start}) JOIN reads ON read_id = v
+  UNION ALL SELECT {name}.c, t.y, t.x, CAST(distance + length(sequence) - overlap AS BIGINT) FROM {name} JOIN ft t ON t.x = v AND t.y <> before JOIN reads ON read_id = t.y),
+far_{name} AS (SELECT c, arg_min(v, (-distance, v)) AS v, max(distance) AS far FROM {name} GROUP BY 1)"""
+
+
+_TAILS = f"""{_FOREST}, fe AS MATERIALIZED (SELECT x, y, overlap FROM forest JOIN est USING (x, y)), ft AS MATERIALIZED (SELECT * FROM fe UNION ALL SELECT y, x, overlap FROM fe),
+{components_sql("ft", "fc")}, {_walk("w1", "SELECT DISTINCT component_id AS c, component_id AS v FROM fc")}, {_walk("w2", "SELECT c, v FROM far_w1")}, {_walk("w3", "SELECT c, v FROM far_w2")},
+av AS (SELECT sum(length(sequence)) // count(*) AS av FROM reads),
+tails AS MATERIALIZED (SELECT c AS component_id, 'R' AS side, w2.v AS read_id, distance FROM w2 JOIN far_w2 USING (c), av WHERE distance + 2 * av > far
+  UNION ALL SELECT c, 'L', w3.v, distance FROM w3 JOIN far_w3 USING (c), av WHERE distance + 2 * av > far)"""
+
+
+def _tails(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All strong edges either way, the forest with overlaps, and its trees' tails."""
     occ = _occurrences(s, d)
-    e = checkpointed(N.pairs(N.multiplicities(occ), min_score=STRONG))
+    e = checkpointed(_edges_of(occ, STRONG))
     lengths = reads(s, d).select("read_id", F.length("sequence").alias("length"))
     average = lengths.agg(F.floor(F.avg("length"))).first()[0]
-    return trees.tails(N.overlap_estimates(trees.spanning_forest(e), N.first_positions(occ)), lengths, average)
+    tree = checkpointed(N.overlap_estimates(trees.spanning_forest(e), N.first_positions(occ)))
+    return e, tree, checkpointed(trees.tails(tree, lengths, average))
+
+
+@query(f"{_TAILS} SELECT * FROM tails")
+def longest_path_tails(s, d):
+    return _tails(s, d)[2]
+
+
+@query(f"{_TAILS} SELECT component_id, side, read_id FROM tails UNION SELECT component_id, side, y FROM tails JOIN strong ON x = read_id WHERE score >= 40")
+def tail_amplification(s, d):
+    """Tails of all trees with what strong edges lead to."""
+    e, _, tail = _tails(s, d)
+    return trees.amplified(tail, e, 40)
+
+
+@query(f"{_TAILS} SELECT fc.read_id AS id, fc.component_id, coalesce(m.mark, 'N') AS mark FROM fc LEFT JOIN (SELECT read_id, min(side) AS mark FROM tails GROUP BY 1) m USING (read_id)")
+def tree_export_nodes(s, d):
+    _, tree, tail = _tails(s, d)
+    return trees.exported(tree, C.components_of(tree), tail)[0]
+
+
+@query(f"{_FOREST} SELECT * FROM forest")
+def tree_export_links(s, d):
+    """The forest's links, written as JSON lines for a viewer and read back."""
+    _, tree, tail = _tails(s, d)
+    path = new_path(s, "tree")
+    R.write_tree(*trees.exported(tree, C.components_of(tree), tail), path)
+    forget_at_exit(s, path)
+    return s.read.schema("x bigint, y bigint, score bigint").json(f"{path}/links")
 
 
 # Spectral grouping, partitions, points.
@@ -582,7 +664,7 @@ SELECT vec_id, CAST(arg_min(k, dist) AS INTEGER) AS cluster, round(min(dist), 6)
 def kmeans_step(s, d):
     e = table(s, d, "embeddings")
     centres = [[float(v) for v in r["embedding"]] for r in e.where("vec_id < 4").orderBy("vec_id").collect()]  # four centres
-    return spectral.kmeans_step(e, centres, "vec_id", "embedding").withColumn("distance", F.round("distance", 6))
+    return spectral.kmeans_step(e, centres, "vec_id", "embedding").drop("embedding").withColumn("distance", F.round("distance", 6))
 
 
 @query("""WITH v AS (SELECT label, vec_id, unnest(embedding) AS v, unnest(range(1, len(embedding) + 1)) AS k FROM embeddings), m AS (SELECT label, k, avg(CAST(v AS DOUBLE)) AS m FROM v GROUP BY 1, 2),
@@ -591,9 +673,15 @@ def centroid_distance(s, d):
     return spectral.by_centroid_distance(table(s, d, "embeddings"), "label", "vec_id", "embedding").select("label", "vec_id", F.round("distance", 6).alias("distance"))
 
 
-@query()
+@query("SELECT vec_id, true AS nearest FROM embeddings")
 def kmeans_clusters(s, d):
-    return spectral.kmeans(table(s, d, "embeddings"), 5, "vec_id", "embedding", rounds=10)[0].select("vec_id", "cluster")
+    """Settled clusters: each point is nearest to the mean of its own cluster, as computed anew from the members."""
+    found = checkpointed(spectral.kmeans(table(s, d, "embeddings"), 5, "vec_id", "embedding", rounds=1000)[0])
+    means = found.select("cluster", F.posexplode("embedding").alias("k", "v")).groupBy("cluster", "k").agg(F.avg(F.col("v").cast("double")).alias("m")).groupBy("cluster").agg(F.sort_array(F.collect_list(F.struct("k", "m"))).alias("m"))
+    centres = [list(r["m"]) for r in means.select("cluster", F.col("m.m").alias("m")).orderBy("cluster").collect()]  # five means
+    again = spectral.kmeans_step(found.drop("distance").withColumnRenamed("cluster", "own"), centres, "vec_id", "embedding").select("vec_id", F.col("distance").alias("least"))
+    to = F.aggregate(F.zip_with("embedding", F.element_at(F.array(*(F.array(*map(F.lit, c)) for c in centres)), F.col("cluster") + 1), lambda a, b: F.pow(a.cast("double") - b, F.lit(2))), F.lit(0.0), lambda x, v: x + v)
+    return found.join(again, "vec_id").select("vec_id", (to <= F.col("least") + 1e-9).alias("nearest"))
 
 
 _HALVES = f"{_CONN}, half AS (SELECT DISTINCT x AS read_id, x % 2 AS side FROM strong), e AS (SELECT strong.*, a.side AS sx, b.side AS sy FROM strong JOIN half a ON a.read_id = x JOIN half b ON b.read_id = y), dl AS (SELECT x AS read_id, CAST(sum(CASE WHEN sx <> sy THEN score ELSE -score END) AS BIGINT) AS delta FROM e GROUP BY 1)"
@@ -625,11 +713,17 @@ def gain_partial_sums(s, d):
     return metrics.partial_sums(g, "gain", ["o", "y"], ["x"]).drop("o")
 
 
-@query()
+@query(f"{_HALVES}, n AS (SELECT count(*) AS vertices FROM half) SELECT m AS method, vertices, CAST(vertices % 2 AS BIGINT) AS difference, true AS cost_is_cut FROM n, (VALUES ('all_pairs'), ('best_five')) t(m) WHERE vertices > 0")
 def bisection(s, d):
-    e = checkpointed(N.pairs(N.multiplicities(_occurrences(s, d)), min_score=40))
-    rows = [(name, len(a), len(b), float(cost)) for name, narrow in (("all_pairs", None), ("best_five", 5)) for a, b, cost in [partitioning.bisect(e, narrow=narrow)]]
-    return s.createDataFrame(rows, "method string, left_size bigint, right_size bigint, cost double")
+    """Halves of all strong edges' graph: equal but for one vertex, and of the cost that the cut has."""
+    e = checkpointed(_edges(s, d, STRONG))
+    rows = []
+    for name, narrow in (("all_pairs", None), ("best_five", 5)):
+        a, b, cost = partitioning.bisect(e, narrow=narrow)
+        if a:
+            side = s.createDataFrame([(v, int(v in a)) for v in a | b], "read_id bigint, side int")
+            rows.append((name, len(a) + len(b), abs(len(a) - len(b)), float(partitioning.cut_cost(e, side).first()["cost"]) == float(cost)))
+    return s.createDataFrame(rows, "method string, vertices bigint, difference bigint, cost_is_cut boolean")
 
 
 # Histograms and sketches.
@@ -644,31 +738,58 @@ def histogram_peaks(s, d):
     return metrics.peaks(K.histogram(K.token_totals(reads(s, d), SIZE), 0))
 
 
-@query()
+@query("""WITH RECURSIVE h AS (SELECT row_number() OVER (ORDER BY m) - 1 AS i, m, n FROM (SELECT strftime(o_orderdate, '%Y-%m') AS m, CAST(count(*) AS DOUBLE) AS n FROM orders GROUP BY 1)),
+f AS (SELECT (max(n) - min(n)) * 0.25 AS need, count(*) AS k FROM h),
+walk AS (SELECT CAST(-1 AS BIGINT) AS i, (SELECT n FROM h WHERE h.i = 0) AS low, CAST(NULL AS DOUBLE) AS top, CAST(-1 AS BIGINT) AS place, CAST(NULL AS BIGINT) AS peak
+  UNION ALL SELECT h.i, CASE WHEN top IS NULL THEN least(low, n) WHEN n <= top AND n < top - need THEN n ELSE low END,
+    CASE WHEN top IS NULL THEN CASE WHEN n > least(low, n) + need THEN n END WHEN n > top THEN n WHEN n < top - need THEN NULL ELSE top END,
+    CASE WHEN top IS NULL THEN CASE WHEN n > least(low, n) + need THEN h.i ELSE place END WHEN n > top THEN h.i ELSE place END,
+    CASE WHEN top IS NOT NULL AND n <= top AND n < top - need THEN place END FROM walk JOIN h ON h.i = walk.i + 1, f),
+peaks AS (SELECT peak FROM walk WHERE peak IS NOT NULL UNION ALL SELECT place FROM walk, f WHERE walk.i = k - 1 AND place = k - 1 AND top IS NOT NULL)
+SELECT m AS month, CAST(n AS BIGINT) AS orders FROM peaks JOIN h ON h.i = peak""")
 def prominent_peaks(s, d):
-    h = K.histogram(K.token_totals(reads(s, d), SIZE), 0).orderBy("occurrence").collect()  # one row per occurrence
-    at = metrics.prominent_peaks([float(r["unique_kmers"]) for r in h])
-    return s.createDataFrame([(h[i]["occurrence"], h[i]["unique_kmers"]) for i in at], "occurrence bigint, unique_kmers bigint")
+    """Months in which orders peak."""
+    h = table(s, d, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.count("*").alias("n")).orderBy("month").collect()  # one row per month
+    at = metrics.prominent_peaks([float(r["n"]) for r in h])
+    return s.createDataFrame([(h[i]["month"], h[i]["n"]) for i in at], "month string, orders bigint")
 
 
-@query()
+@query(f"{_OCC} SELECT count(DISTINCT kmer) AS distinct_kmers, true AS near FROM occ")
 def hll_distinct(s, d):
+    """The merged sketch of all categories' sketches, stored and loaded, is within three standard errors of the exact number."""
     t = T.tokenise(reads(s, d), SIZE, ("category_id",), positions=False)
-    parts = checkpointed(sketches.distinct_sketch(t, ["category_id"]))
-    return sketches.estimated(sketches.merged_sketch(parts)).select("estimate")
+    path = new_path(s, "sketch")
+    sketches.saved(sketches.distinct_sketch(t, ["category_id"]), path)
+    forget_at_exit(s, path)
+    estimate = sketches.estimated(sketches.merged_sketch(sketches.loaded(s, path)))
+    return K.distinct_by_k(reads(s, d), [SIZE]).crossJoin(estimate).select("distinct_kmers", (F.abs(F.col("estimate") - F.col("distinct_kmers")) <= 0.1 * F.col("distinct_kmers")).alias("near"))  # one row each
 
 
-@query()
+@query(f"{_SDK} SELECT (SELECT count(*) FROM sdk) AS members, (SELECT count(DISTINCT kmer) FROM occ) - (SELECT count(*) FROM sdk) AS others, true AS all_found, true AS few_false")
 def bloom_membership(s, d):
-    t = K.band(K.token_totals(reads(s, d), SIZE), LOW, HIGH).select("token")
-    words = checkpointed(sketches.bloom(t, 1 << 18, 6))
-    return sketches.bloom_contains(K.token_totals(reads(s, d), 11).select("token"), words, 1 << 18, 6).groupBy("maybe").agg(F.count("*").alias("n"))
-
-
-@query()
+    """A filter of the band's tokens, sized for 1 % of false positives, stored and loaded: it has every member, and few others."""
+    totals = checkpointed(K.token_totals(reads(s, d), SIZE))
+    band = K.band(totals, LOW, HIGH)
+    n = F.greatest(F.count("*"), F.lit(1))
+    sizes = band.agg(n.alias("n")).select(sketches.bloom_bits(F.col("n"), F.lit(0.01)).alias("bits"), "n").select("bits", sketches.bloom_hashes(F.col("n"), F.col("bits")).alias("hashes")).first()
+    path = new_path(s, "sketch")
+    sketches.saved(sketches.bloom(band, sizes["bits"], sizes["hashes"], "token"), path)
+    forget_at_exit(s, path)
+    asked = sketches.bloom_contains(totals.select("token", F.col("total").between(LOW, HIGH).alias("own")), sketches.loaded(s, path), sizes["bits"], sizes["hashes"])
+    count = lambda c: F.count(F.when(c, 1))
+    out = asked.agg(count(F.col("own")).alias("members"), count(~F.col("own")).alias("others"), count(F.col("own") & ~F.col("maybe")).alias("lost"), count(~F.col("own") & F.col("maybe")).alias("false"))
+    return out.select("members", "others", (F.col("lost") == 0).alias("all_found"), (F.col("false") <= 0.03 * F.col("others") + 10).alias("few_false"))
+
+
+@query(f"WITH {READS}, {occurrences(9)} SELECT count(DISTINCT kmer) AS tokens, true AS never_below, true AS near FROM occ")
 def count_min(s, d):
-    t = T.tokenise(reads(s, d), 9, ("category_id",), positions=False)
-    return sketches.count_sketch(t, ["category_id"]).select("category_id", F.length("sketch").alias("bytes"))
+    """Estimates of a count-min sketch are never below the counts, and at most eps of all occurrences above them for all but 1 - confidence."""
+    totals = checkpointed(K.token_totals(reads(s, d), 9))
+    depth, width = 3, 4096  # confidence 1 - exp(-3), eps e / 4096
+    sketch = checkpointed(sketches.count_min(T.tokenise(reads(s, d), 9, (), positions=False), depth, width))
+    both = totals.join(sketches.count_min_estimates(totals, sketch, depth, width), "token").crossJoin(totals.agg(F.sum("total").alias("every")))  # one row
+    far = F.col("estimate") - F.col("total") > F.col("every") * (2.718281828 / width)
+    return both.agg(F.count("*").alias("tokens"), (F.min(F.col("estimate") - F.col("total")) >= 0).alias("never_below"), (F.count(F.when(far, 1)) <= 0.05 * F.count("*")).alias("near"))
 
 
 @query("""WITH p AS (SELECT (p_partkey + 1) * 1000 AS n, CASE p_size % 3 WHEN 0 THEN 0.01 WHEN 1 THEN 0.05 ELSE 0.001 END AS p FROM part),
@@ -702,7 +823,8 @@ def grouped_records(s, d):
     return programs.group_records(r, tokens, SIZE, programs.Settings(min_size=2, score=STRONG, enrichment=5, tail=40)).components
 
 
-@query()
+@query(f"""WITH {READS}, {occurrences(15)}, c AS (SELECT kmer, category_id, count(*) AS n FROM occ GROUP BY 1, 2 HAVING count(*) > 1)
+SELECT kmer, CAST(sum(n) AS BIGINT) AS total, count(*) AS categories, max(n) AS most, count(*) = 1 AS discriminative FROM c GROUP BY 1 HAVING sum(n) BETWEEN {LOW} AND {HIGH}""")
 def selected_tokens(s, d):
     found = programs.select_tokens(reads(s, d), LOW, HIGH, k=15)
     return K.with_string(found.tokens, found.k)

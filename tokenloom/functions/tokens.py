@@ -89,8 +89,8 @@ def rescaled_exp(score: Column, low: Column, high: Column, bottom: float = 0.3,
 
 
 def hash_share(key: Column, seed: int = 1) -> Column:
-    """A number in 0..1 from a whole number, by arithmetic that any SQL engine has."""
-    return F.pmod(key % 1_000_003 * 7919 + seed * 104_729, F.lit(1_000_003)) / 1_000_003
+    """A number in 0..1 from a key: the first 32 bits of an MD5, which any SQL engine has; near keys are independent."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed))).cast("binary")), 1, 8), 16, 10).cast("double") / float(1 << 32)
 
 
 def quality_rows(records: DataFrame, k: int, record: str = "read_id", qualities: str = "qualities") -> DataFrame:

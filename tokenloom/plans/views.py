@@ -28,10 +28,10 @@ def spread(df: DataFrame) -> DataFrame:
 def reads(spark: SparkSession, sf_dir: str, with_qualities: bool = False) -> DataFrame:
     """documents as reads: letters a-z become bases in turn, the language is the file."""
     d = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
-    letters = F.regexp_replace(F.lower("text"), "[^a-z]", "")
-    # As many rows as there are languages, so the window and the join's other side are tiny.
-    langs = table(spark, sf_dir, "documents").select("lang").distinct().select("lang", (F.row_number().over(W.orderBy("lang")) - 1).alias("category_id"))
-    out = d.select((F.col("doc_id") + 1).alias("read_id"), "lang", letters.alias("letters")).join(F.broadcast(langs), "lang")
+    letters = F.regexp_replace(F.lower("text"), "[^a-z]+", "")
+    # One row per language, numbered in their order with null last; the join keeps null, and Spark broadcasts by size.
+    langs = table(spark, sf_dir, "documents").select(F.col("lang").alias("__lang__")).distinct().select("__lang__", (F.row_number().over(W.orderBy(F.asc_nulls_last("__lang__"))) - 1).alias("category_id"))
+    out = d.select((F.col("doc_id") + 1).alias("read_id"), "lang", letters.alias("letters")).join(langs, F.col("lang").eqNullSafe(F.col("__lang__")))
     start = (F.col("read_id") * 37) % 5000 + 1
     cols = [F.col("read_id"), F.concat(F.lit("read"), "read_id").alias("header"), F.translate("letters", _LETTERS, _BASES).alias("sequence"), F.col("category_id").cast("int").alias("category_id"), start.alias("start"), (start + F.length("letters")).alias("end")]
     if with_qualities:
@@ -44,7 +44,7 @@ READS = f"""reads AS MATERIALIZED (
   SELECT read_id, 'read' || read_id AS header, translate(letters, '{_LETTERS}', '{_BASES}') AS sequence, category_id,
     (read_id * 37) % 5000 + 1 AS start, (read_id * 37) % 5000 + 1 + length(letters) AS stop,
     translate(letters, '{_LETTERS}', '{_QUALITIES}') AS qualities
-  FROM (SELECT doc_id + 1 AS read_id, CAST(dense_rank() OVER (ORDER BY lang) - 1 AS INTEGER) AS category_id,
+  FROM (SELECT doc_id + 1 AS read_id, CAST(dense_rank() OVER (ORDER BY lang NULLS LAST) - 1 AS INTEGER) AS category_id,
     regexp_replace(lower(text), '[^a-z]', '', 'g') AS letters FROM documents))"""
 
 
