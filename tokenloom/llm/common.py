@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import hashlib
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,6 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tokenloom.sources.shared import forget_at_exit, new_path
 
 #: sha256 of nothing, in hex.
 EMPTY_SHA256 = hashlib.sha256(b"").hexdigest()
@@ -22,28 +22,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, where it is set.
-
-    Only where no such setting exists (tests, one machine) a folder under /tmp serves.
-    """
-    sc = spark.sparkContext
-    return sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/tokenloom-shared"
-
-
 def stored(df: DataFrame, what: str) -> DataFrame:
     """Writes df to the shared folder as Parquet and reads it back: lost executors cost no recomputation.
 
     While it runs, Python gets rows in batches of a thousand at most, as texts may be long.
     """
     spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    path = f"{shared_dir(spark)}/tokenloom-{what}-{uuid.uuid4().hex}"
+    path = new_path(spark, what)
     before = spark.conf.get(key)
     spark.conf.set(key, min(int(before), 1000) if int(before) > 0 else 1000)
     try:
         df.write.parquet(path)
     finally:
         spark.conf.set(key, before)
+    forget_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

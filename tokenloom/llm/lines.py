@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import map_texts, slices, stored, table, trimmed
+from tokenloom.llm.common import slices, stored, table, trimmed
 from tokenloom.llm.words import _BASE, _LOWER, Batch, hash_ranges, mix, split, windows
 
 _U = np.uint64
@@ -96,14 +96,38 @@ def _hosts(values: list) -> np.ndarray:
     return hash_ranges(np.frombuffer(b"".join(b), np.uint8), np.concatenate([[0], ends[:-1]]).astype(np.int64), ends)
 
 
-def common_lines(docs: DataFrame, host_col: str = "source", text_col: str = "text", min_docs: int = 8, share: float = 0.02) -> DataFrame:
-    """Lines above the limits: host, line (hashes), docs (documents of the host that have the line).
+def common_lines(docs: DataFrame, host_col: str = "source", id_col: str = "doc_id", text_col: str = "text", min_docs: int = 8, share: float = 0.02, max_docs: int = 200, most_ids: int = 2_000_000) -> DataFrame:
+    """Lines above the limits: host, line (hashes), docs (distinct documents of the host that have the line).
 
-    A line is above the limits if more than `min_docs` documents of its host have it,
-    and more than `share` of that host's documents.  Each batch counts its own
-    documents' distinct lines before anything is shuffled.
+    A line is above the limits if more than `min_docs` documents of its host have it, and
+    either more than `share` of that host's rows or more than `max_docs`, so that the bar
+    of a host with millions of documents is no higher than that.  Each batch counts its own
+    documents' distinct lines before anything is shuffled; rows whose id occurs again are
+    counted by their ids, so that they are one document.
     """
-    source = docs.select(F.col(host_col).cast("string").alias("h"), F.col(text_col).cast("binary").alias("t"))
+    again = stored(docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id__")).count().where("count > 1").select("__id__"), "again")
+    repeated = again.count()
+    source = docs.select(F.col(host_col).cast("string").alias("h"), F.col(id_col).alias("__id__"), F.col(text_col).cast("binary").alias("t"))
+    rows = _line_rows(source.drop("__id__"), "docs bigint")
+    if not repeated:
+        counts = rows.groupBy("host", "line").agg(F.sum("docs").alias("docs"))
+    else:
+        ids = F.broadcast(again) if repeated <= most_ids else again
+        single = _line_rows(source.join(ids, "__id__", "left_anti").drop("__id__"), "docs bigint")
+        many = _line_rows(source.join(ids, "__id__", "left_semi").select("h", "t", "__id__"), f"id {source.schema['__id__'].dataType.simpleString()}").where("line <> 0").distinct().groupBy("host", "line").agg(F.count("*").alias("docs"))
+        every = rows.where("line = 0").select("host", "line", "docs").union(single.where("line <> 0")).union(many.select("host", "line", "docs"))
+        counts = every.groupBy("host", "line").agg(F.sum("docs").alias("docs"))
+    counts = stored(counts.where(F.col("docs") > min_docs), "lines")
+    of_host = counts.where("line = 0").select("host", F.col("docs").alias("of"))
+    return counts.where("line <> 0").join(of_host, "host").where((F.col("docs") > F.col("of") * share) | (F.col("docs") > max_docs)).select("host", "line", "docs")
+
+
+def _line_rows(source: DataFrame, last: str) -> DataFrame:
+    """(host, line, last) of rows (h, t[, id]): lines with their number of rows in a batch, or one for each id that has them.
+
+    Line 0 stands for the host's rows themselves.
+    """
+    by_id = not last.startswith("docs")
 
     def count(it):
         for rb in it:
@@ -113,17 +137,17 @@ def common_lines(docs: DataFrame, host_col: str = "source", text_col: str = "tex
                 doc, _, _, first, n = lines_of(b)
                 line = normalised(b, first, n)
                 once = np.unique(mix(line + mix(doc.astype(np.uint64))), return_index=True)[1]
-                host, line = hosts[lo:hi][doc[once]], line[once]
+                doc, line = doc[once], line[once]
+                host = hosts[lo:hi][doc]
+                if by_id:
+                    yield pa.RecordBatch.from_arrays([pa.array(host.view(np.int64)), pa.array(line.view(np.int64)), rb.column(2).take(pa.array(doc + lo))], ["host", "line", "id"])
+                    continue
                 _, at, docs_ = np.unique(_host_line(host, line), return_index=True, return_counts=True)
                 own, n_own = np.unique(hosts[lo:hi], return_counts=True)
-                # Line 0 stands for the host's documents themselves.
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([own, host[at]]).view(np.int64)), pa.array(np.concatenate([np.zeros(len(own), np.uint64), line[at]]).view(np.int64)), pa.array(np.concatenate([n_own, docs_]))], ["host", "line", "docs"])
         trimmed()
 
-    counts = source.mapInArrow(count, "host bigint, line bigint, docs bigint").groupBy("host", "line").agg(F.sum("docs").alias("docs")).where(F.col("docs") > min_docs)
-    counts = stored(counts, "lines")
-    of_host = counts.where("line = 0").select("host", F.col("docs").alias("of"))
-    return counts.where("line <> 0").join(of_host, "host").where(F.col("docs") > F.col("of") * share).select("host", "line", "docs")
+    return source.mapInArrow(count, f"host bigint, line bigint, {last}")
 
 
 def line_quality(
@@ -133,6 +157,7 @@ def line_quality(
     text_col: str = "text",
     min_docs: int = 8,
     share: float = 0.02,
+    max_docs: int = 200,
     min_left: float = 0.5,
     min_words: int = 20,
     max_repeat: float = 0.3,
@@ -146,14 +171,15 @@ def line_quality(
     min_words words, or over max_repeat of them in repeated 8-word windows) or if less
     than min_left of its words are left.
 
-    Each row counts as a document, repeated rows as well.  Null and empty texts have no
+    Rows with one id are one document to the line counts, and each gets its own result; a
+    row without an id is a document of its own.  Null and empty texts have no
     words and fail; null hosts together are one host; null ids stay null; a host with
     min_docs documents or fewer has no line above the limits.  Other columns are ignored.
 
     The lines to remove are broadcast in blocks of at most block_lines hashes; more
     of them take further passes, each adding the words of its own lines.
     """
-    lines = stored(common_lines(docs, host_col, text_col, min_docs, share), "common")
+    lines = stored(common_lines(docs, host_col, id_col, text_col, min_docs, share, max_docs), "common")
     n = lines.count()
     blocks = max(1, -(-n // block_lines))
     df = docs.select(F.col(id_col), F.col(host_col).cast("string").alias("__host__"), F.col(text_col).cast("binary").alias("__text__"), F.lit(0).cast("bigint").alias("__removed__"))
@@ -162,18 +188,23 @@ def line_quality(
         part = lines if blocks == 1 else lines.where(F.pmod(F.xxhash64("line"), F.lit(blocks)) == k)
         rows = part.select("host", "line").toArrow()  # at most a block
         keys = np.sort(_host_line(rows["host"].to_numpy().view(np.uint64), rows["line"].to_numpy().view(np.uint64)))
-        df = _removal(df, spark.sparkContext.broadcast(keys))
+        df = _removal(df, spark.sparkContext.broadcast(keys), last=k + 1 == blocks)
         if k + 1 < blocks:
             df = stored(df, "depleted")
-    fields = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint"
-    out = map_texts(df, lambda texts: list(rules(split(texts, lower=False)).values()), fields, id_col, "__text__", {"removed_words": F.col("__removed__")})
+    out = df.select(F.col(id_col), F.col("__removed__").alias("removed_words"), *_FIGURES)
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > round(100 * max_repeat) * F.col("n_words"))
     left = (F.col("n_words") - F.col("removed_words")) >= min_left * F.col("n_words")
     return out.withColumn("base_failed", base).withColumn("kept", ~base & left)
 
 
-def _removal(df: DataFrame, keys) -> DataFrame:
-    names = df.columns
+_FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def _removal(df: DataFrame, keys, last: bool) -> DataFrame:
+    """(id, host, text, removed) with the words of the lines in keys added to removed; the last pass has the figures of rules instead of the text."""
+    tail = df.sparkSession.createDataFrame([], ", ".join(f"{c} bigint" for c in _FIGURES)).schema
+    head = df.schema
+    schema = type(head)([head[0], head[3], *tail.fields]) if last else head
 
     def run(it):
         top = keys.value
@@ -182,16 +213,19 @@ def _removal(df: DataFrame, keys) -> DataFrame:
             for lo, hi, texts in slices(rb, 2, 2_000_000):
                 part = rb.slice(lo, hi - lo)
                 gone = part.column(3).to_numpy().copy()
+                b = split(texts, lower=False)
                 if len(top):
-                    b = split(texts, lower=False)
                     doc, _, _, first, n = lines_of(b)
                     key = _host_line(hosts[lo:hi][doc], normalised(b, first, n))
                     hit = top[np.minimum(np.searchsorted(top, key), len(top) - 1)] == key
                     gone = gone + np.bincount(doc[hit], weights=n[hit], minlength=b.n_docs).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(3)), pa.array(gone)], names)
+                if last:
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(gone), *map(pa.array, rules(b).values())], schema.fieldNames())
+                else:
+                    yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(3)), pa.array(gone)], schema.fieldNames())
         trimmed()
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,7 +250,7 @@ rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT win.doc_id, unnest(ra
 hosts AS (SELECT source, count(*) AS of_host FROM d GROUP BY 1),
 common AS (
   SELECT source, norm FROM (SELECT source, norm, count(DISTINCT doc_id) AS docs FROM real_lines GROUP BY 1, 2) JOIN hosts USING (source)
-  WHERE docs > 8 AND docs > of_host * 0.02),
+  WHERE docs > 8 AND (docs > of_host * 0.02 OR docs > 200)),
 gone AS (SELECT doc_id, sum(n) AS removed FROM real_lines JOIN common USING (source, norm) GROUP BY 1),
 r AS (
   SELECT base.doc_id, n_words, word_chars, n_symbols, CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines,

@@ -2,9 +2,13 @@
 
 A classifier learnt from the table of labels gives each document its posterior of every
 domain; nonnegative document rates are then fitted so that the expected tokens of each
-domain meet the targets.  The fit is least squares: Newton steps on the dual find the
-start, projected gradients on the rates finish where targets can't be met.  The state is
-a few numbers per domain, and every round is one aggregation over the documents.
+domain meet the targets.  The fit is least squares by projected gradients on the rates:
+in a document's own metric a gradient step moves its rate by its posterior times a vector
+that is the same for all, so a round is one aggregation over the documents, and each
+document replays the rounds' vectors on its rate wherever it lies.  Two forms follow each
+other: steps scaled by the curvature and projected lazily (rates are the projection of 1
+plus the sum of all steps; these are Newton steps on the dual), then plain accelerated
+ones, projected each time, where targets can't be met.
 """
 
 from __future__ import annotations
@@ -220,11 +224,19 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", *(F.col("posterior")[k].alias(f"p_{name}") for k, name in enumerate(DOMAINS)), "rate")
 
 
+def copies(rate: Column, key: Column, seed: int = 17) -> Column:
+    """How often a row is drawn: the rate's whole part, and one more with the chance of the rest, by a hash of the key."""
+    share = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 53)) / float(1 << 53)
+    return (F.floor(rate) + F.when(share < rate - F.floor(rate), 1).otherwise(0)).cast("bigint")
+
+
 def weigh(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Last stage of the pipeline: the documents with their posteriors and sampling rates.
+    """Last stage of the pipeline: the documents with their posteriors, sampling rates and copies.
 
-    Each row keeps its columns and gets n_tokens, posterior and rate; a name that the
-    table has already is replaced.
+    Each row keeps its columns and gets n_tokens, posterior, rate and copies (whole draws that
+    the rate comes to, by a hash of doc_id; 0: the mix does without the row); a name that the
+    table has already is replaced.  Null and empty texts have 0 tokens; rows with equal texts
+    have equal rates, and equal ids equal copies; without labels all rates stay near 1.
     """
     labels = table(spark, sf_dir, "labels")
     bits = 18
@@ -238,6 +250,9 @@ def weigh(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         p /= p.sum(1, keepdims=True)
         return pa.array([{"n_tokens": n, "posterior": row} for n, row in zip(split(texts).counts.tolist(), p.tolist())], type=pa.struct([("n_tokens", pa.int64()), ("posterior", pa.list_(pa.float64()))]))
 
-    kept = docs.drop("n_tokens", "posterior", "rate")
-    scored = stored(kept.withColumn("__m__", member(F.col("text").cast("binary"))).select("*", "__m__.n_tokens", "__m__.posterior").drop("__m__"), "weigh")
-    return with_rates(scored, fit_rates(scored.select("n_tokens", "posterior"), TARGETS))
+    kept = docs.drop("n_tokens", "posterior", "rate", "copies")
+    names = kept.columns
+    own = kept.select(F.struct(*(kept[f"`{c}`"] for c in names)).alias("row"), member(F.col("text").cast("binary")).alias("m"))
+    scored = stored(own.select("row", "m.n_tokens", "m.posterior"), "weigh")
+    rated = with_rates(scored, fit_rates(scored.select("n_tokens", "posterior"), TARGETS))
+    return rated.select(*(F.col(f"row.`{c}`").alias(c) for c in names), "n_tokens", "posterior", "rate", copies(F.col("rate"), F.col("row.doc_id")).alias("copies"))

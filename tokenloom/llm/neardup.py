@@ -242,7 +242,7 @@ def near_duplicates(
     each = stored(each, "member")
     links = stored(_compared(_with_sets(docs, each, shingle, id_col, text_col, most_ids), percent).distinct(), "link")
     same = many.join(some, id_col).join(classes.select("s1", "s2", "cls"), ["s1", "s2"]).select(F.col(id_col).cast("bigint").alias("x"), F.col("cls").alias("y"))
-    found = connected_components(links.union(same)).select(F.col("id").alias("cls"), "component_id")
+    found = connected_components(links.union(same), few=0).select(F.col("id").alias("cls"), "component_id")
 
     rows = keys.select(id_col, "n_shingles", "s1", "s2").where(F.col(id_col).isNotNull()).distinct()
     rows = rows.join(classes.select("s1", "s2", F.col("cls").alias("class_id")), ["s1", "s2"], "left")

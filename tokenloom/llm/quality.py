@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import crc_of, map_texts, table
+from tokenloom.llm.common import crc_of, map_texts, slices, table
 from tokenloom.llm.words import ALNUM, SHAPES, batches, mix, split, windows
 
 _U = np.uint64
@@ -82,33 +82,40 @@ def margins(texts: list[bytes | None], w: np.ndarray, bits: int) -> np.ndarray:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: Column, max_train: int, id_col: str, text_col: str) -> DataFrame:
-    """(y, text, order) of at most max_train labelled rows, those with the lowest hashes of their ids."""
-    chosen = (
-        labels.select(F.col(id_col).alias("__id__"), label.cast("int").alias("__y__"))
-        .where("__id__ IS NOT NULL AND __y__ IS NOT NULL")
-        .select("__id__", "__y__", F.xxhash64(F.col("__id__"), F.lit(29)).alias("__o__"))
-        .orderBy("__o__", "__id__", "__y__")
-        .limit(max_train)
-    )
-    d = docs.select(F.col(id_col).alias("__id__"), F.col(text_col).cast("binary").alias("__t__"))
-    return d.join(F.broadcast(chosen), "__id__").select(F.col("__y__").alias("y"), F.col("__t__").alias("text"), F.col("__o__").alias("o"))
+    """(y, text, o) of at most max_train labelled rows, those with the lowest hashes of their ids.
+
+    The bound counts labels whose document is there.  An id with several texts, or with a
+    label given twice, counts once for each label, with the least of its texts.
+    """
+    own = labels.select(F.col(id_col).alias("__id__"), label.cast("int").alias("__y__")).where("__id__ IS NOT NULL AND __y__ IS NOT NULL").distinct()
+    present = docs.select(F.col(id_col).alias("__id__")).join(own, "__id__").distinct()
+    order = F.xxhash64(F.col("__id__"), F.lit(29)).alias("__o__")
+    chosen = present.select("__id__", "__y__", order).orderBy("__o__", "__id__", "__y__").limit(max_train)
+    d = docs.select(F.col(id_col).alias("__id__"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("__t__"))
+    both = d.join(F.broadcast(chosen), "__id__")
+    return both.groupBy("__o__", "__id__", "__y__").agg(F.min("__t__").alias("text")).select(F.col("__y__").alias("y"), "text", F.col("__o__").alias("o"))
 
 
 def fit(examples: DataFrame, bits: int, classes: int = 1, epochs: int = 2) -> np.ndarray:
-    """Weights from the (y, text, o) rows of labelled(), learnt in one task in the order of o."""
+    """Weights from the (y, text, o) rows of labelled(), learnt in one task in the order of o.
+
+    Each epoch's rows are sent on their own, so that the task holds a batch of texts at a
+    time, however long they are.
+    """
 
     def learn(it):
-        seen = []
-        for rb in it:
-            ys, texts = rb.column(0).to_pylist(), rb.column(1).to_pylist()
-            for lo, hi in batches(texts):
-                f, at = features(texts[lo:hi], bits)
-                seen += [(f[a:z].astype(np.int32), y) for a, z, y in zip(at[:-1], at[1:], ys[lo:hi])]
-        w = train((x for _ in range(epochs) for x in seen), bits, classes)
-        yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], type=pa.binary())], ["w"])
-
-    one = examples.repartition(1).sortWithinPartitions("o", "y", "text").mapInArrow(learn, "w binary")
-    got = one.first()  # no labelled row, no task, no weights
+        def seen():
+            for rb in it:
+                ys = rb.column(0).to_pylist()
+                for lo, hi, texts in slices(rb, 1, 2_000_000):
+                    f, at = features(texts, bits)
+                    yield from ((f[a:z], y) for a, z, y in zip(at[:-1], at[1:], ys[lo:hi]))
+
+        yield pa.RecordBatch.from_arrays([pa.array([train(seen(), bits, classes).tobytes()], type=pa.binary())], ["w"])
+
+    each = examples.select("y", "text", "o", F.explode(F.sequence(F.lit(1), F.lit(epochs))).alias("epoch"))
+    got = each.repartition(1).sortWithinPartitions("epoch", "o", "y", "text").mapInArrow(learn, "w binary").first()
+    # No labelled row: no task, or one that has seen none.
     return np.frombuffer(got["w"], np.float32).reshape(-1, classes) if got else np.zeros(((1 << bits) + 1, classes), np.float32)
 
 
@@ -136,7 +143,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, max_tra
     Rows whose crc32 of the id as text leaves remainder `held_out` by `folds` are never
     learnt from; predicted is 1 if score >= threshold.  Only the text is read for a
     score.  Null and empty texts have the bias as their one feature; labels without an id
-    or a value are skipped; a text labelled twice is learnt twice; repeated rows get
+    or a value are skipped; a label given twice is learnt once; repeated rows get
     equal scores; without any label every score is 0.5.  A null id is not held out.
     """
     fold = F.pmod(crc_of(id_col), F.lit(folds)) == held_out
@@ -155,6 +162,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str, threshold: float = 0.7) -> DataFrame:
-    """Pipeline stage: rows with a score under the threshold go; the columns stay as they are."""
+    """Pipeline stage: rows with a score under the threshold go; the columns stay as they are.
+
+    Null and empty texts have the score of the bias and mostly go; repeated rows go or stay
+    together; a null id is as good as another; without any label nothing is known, and all
+    rows stay.  Names of other columns don't matter.
+    """
     w = model(docs, table(spark, sf_dir, "labels"), learn_where=F.pmod(crc_of("doc_id"), F.lit(4)) != 2)
-    return docs.where(score(spark, F.col("text"), w) >= threshold)
+    return docs.where(score(spark, F.col("text"), w) >= threshold) if w.any() else docs

@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import shared_dir, slices, table, trimmed
+from tokenloom.llm.common import slices, table, trimmed
+from tokenloom.sources.shared import forget_at_exit, new_path
 
 #: Fixed value: the public splitting pattern of the byte-level BPE vocabularies.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
@@ -25,8 +26,8 @@ PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 EOD = 50256
 
-#: Digits of a document id at the head of its tokens, base 50,000, least first; the first is 1 more than the digit.
-_DIGITS, _BASE = 4, 50_000
+#: Digits of a document id (modulo 2**64) at the head of its tokens, base 50,000, least first; the first is 1 more than the digit.
+_DIGITS, _BASE = 5, 50_000
 
 
 def _encoder(ranks: bytes):
@@ -36,7 +37,7 @@ def _encoder(ranks: bytes):
 
 
 def encoded(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text", with_id: bool = True, most: int = 50_000) -> DataFrame:
-    """tokens (binary): each row's ids as little-endian uint16; with_id: after four ids that hold its document id.
+    """tokens (binary): each row's ids as little-endian uint16; with_id: after five ids that hold its document id.
 
     Very long texts are encoded in pieces of about `most` characters, cut before a
     blank that follows a non-blank, where the pattern ends a word as well.
@@ -66,9 +67,8 @@ def encoded(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id
                     t = (t or b"").decode("utf-8", "replace")
                     got = [x for p in pieces(t) for x in enc.encode_ordinary(p)]
                     if with_id:
-                        i = -1 if i is None else int(i) % 2**62
-                        head = [i // _BASE**k % _BASE if i >= 0 else 0 for k in range(_DIGITS)]
-                        head[0] += i >= 0
+                        head = [0] * _DIGITS if i is None else [i % 2**64 // _BASE**k % _BASE for k in range(_DIGITS)]
+                        head[0] += i is not None
                         got = head + got
                     out.append(np.array(got, dtype="<u2").tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(out, type=pa.binary())], ["tokens"])
@@ -106,15 +106,17 @@ def scan(spark: SparkSession, path: str, eod: int = EOD, width: int = 2, block_t
 
     def search(it):
         for rb in it:
-            rows = []
             for at in range(rb.num_rows):
                 raw = rb.column(2)[at].as_buffer()
                 ids = np.frombuffer(raw, dtype=kind, count=len(raw) // width)
                 seps = np.flatnonzero(ids == eod)
-                heads = [ids[s + 1 : s + 1 + head].tolist() for s in seps] if head else [[]] * len(seps)
-                rows.append((len(ids), seps, heads, ids[:head].tolist()))
-            cols = list(zip(*rows)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([rb.column(0), rb.column(1), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.list_(pa.int64())), pa.array(cols[2], pa.list_(pa.list_(pa.int64()))), pa.array(cols[3], pa.list_(pa.int64()))], ["path", "block", "n", "seps", "heads", "prefix"])
+                # The ids after each separator, as far as the block goes, taken at once.
+                size = np.minimum(head, len(ids) - seps - 1)
+                ends = np.concatenate([[0], np.cumsum(size)])
+                flat = ids[np.repeat(seps + 1 - ends[:-1], size) + np.arange(ends[-1])].astype(np.int64)
+                heads = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+                one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+                yield pa.RecordBatch.from_arrays([rb.column(0).slice(at, 1), rb.column(1).slice(at, 1), pa.array([len(ids)]), one(pa.array(seps)), one(heads), one(pa.array(ids[:head].astype(np.int64)))], ["path", "block", "n", "seps", "heads", "prefix"])
         trimmed()
 
     found = blocks.mapInArrow(search, "path string, block bigint, n bigint, seps array<bigint>, heads array<array<bigint>>, prefix array<bigint>")
@@ -148,17 +150,21 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, eod: int = EOD,
 
     Null and empty texts have 0 tokens; null ids stay null; repeated rows are counted
     one by one; an empty table has no rows; other columns are ignored.  Ids are whole
-    numbers from 0 on.
+    numbers of 64 bits at most, negative ones too; others are refused.
     """
-    import uuid
-
     spark = docs.sparkSession
-    path = f"{shared_dir(spark)}/tokenloom-tokens-{uuid.uuid4().hex}"
+    own = docs.schema[id_col].dataType.simpleString()
+    if own not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"ids of token files are whole numbers, not {own}")
+    path = new_path(spark, "tokens")
     write_token_files(encoded(docs, vocabulary, id_col, text_col), path, eod)
+    forget_at_exit(spark, path)
     found = scan(spark, path, eod, 2, block_tokens, _DIGITS)
-    digits = [F.element_at("head", k + 1) for k in range(_DIGITS)]
-    value = sum((d * F.lit(_BASE**k).cast("bigint") for k, d in enumerate(digits[1:], 1)), digits[0] - 1)
-    return found.select(F.when(F.element_at("head", 1) > 0, value).alias(id_col), (F.col("n_tokens") - _DIGITS).alias("n_tokens"))
+    # Up to 2**64, so beyond a bigint until its upper half is made negative.
+    digit = lambda k: F.element_at("head", k + 1).cast("decimal(20,0)") * F.lit(str(_BASE**k)).cast("decimal(20,0)")
+    value = (sum((digit(k) for k in range(1, _DIGITS)), digit(0)) - 1).cast("decimal(38,0)")
+    signed = F.when(value >= F.lit(str(2**63)).cast("decimal(38,0)"), value - F.lit(str(2**64)).cast("decimal(38,0)")).otherwise(value)
+    return found.select(F.when(F.element_at("head", 1) > 0, signed).cast(own).alias(id_col), (F.col("n_tokens") - _DIGITS).alias("n_tokens"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
