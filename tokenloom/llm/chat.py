@@ -1,8 +1,9 @@
 """Chat formatting in budgeted windows, with DataFrame functions only.
 
-Prefix sums over a conversation's turns place each turn on a grid of half the window's
-capacity; the grid cell and the long turns before it name the turn's window, so spans
-are turn-aligned and no fold over the conversation is needed.  Every window begins with
+Prefix sums over a conversation's turns choose its windows: each takes all turns up to
+the one whose sum passes the capacity counted from the window's first turn, so spans are
+turn-aligned and as full as their turns allow.  A turn finds its window by binary search
+among the first turns.  Every window begins with
 the system turn, repeats the last turns of the window before it up to a limit, and has
 its own assistant turns under the loss mask; repeated ones are masked out.
 """
@@ -81,13 +82,38 @@ def tokens(text: Column) -> Column:
     return F.floor((F.octet_length(text) + 3) / 4) + 4
 
 
+def _firsts(sums: Column, cap: Column) -> Column:
+    """Places of the turns that begin a window after the first, from (place, own, end) in order."""
+
+    def step(a: Column, x: Column) -> Column:
+        begin = x["end"] - x["own"]
+        new = (x["end"] - a["base"] > cap) & (begin > a["base"])
+        return F.struct(F.when(new, begin).otherwise(a["base"]).alias("base"), F.when(new, F.concat(a["out"], F.array(x["place"]))).otherwise(a["out"]).alias("out"))
+
+    return F.aggregate(sums, F.struct(F.lit(0).cast("bigint").alias("base"), F.array().cast("array<int>").alias("out")), step, lambda a: a["out"])
+
+
+def _rank(sorted_: Column, value: Column) -> Column:
+    """How many numbers of a sorted array are at most the value, by binary search."""
+
+    def step(a: Column, _: Column) -> Column:
+        mid = F.floor((a["lo"] + a["hi"]) / 2).cast("int")
+        right = F.coalesce(F.get(sorted_, mid) <= value, F.lit(False))
+        open_ = a["lo"] < a["hi"]
+        return F.struct(F.when(open_ & right, mid + 1).otherwise(a["lo"]).alias("lo"), F.when(open_ & ~right, mid).otherwise(a["hi"]).alias("hi"))
+
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.size(sorted_) + 1)).cast("int"))
+    return F.aggregate(rounds, F.struct(F.lit(0).alias("lo"), F.size(sorted_).alias("hi")), step, lambda a: a["lo"].cast("bigint"))
+
+
 def windows(turns: DataFrame, budget: int = 512, history: int = 96, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """Turns dealt out to windows: conv_col, window, place, role, text (escaped), n_tokens, target.
 
     budget: tokens of a window; history: tokens of turns repeated from the window
     before.  The capacity for a window's own turns is the budget less the system turn
     and the history, a quarter of the budget at least.  A turn above the capacity is a
-    window of its own, which goes over the budget.
+    window of its own.  Windows go over the budget where there is such a turn, or where the
+    system turn and the history leave less than a quarter.
     """
     whole = W.partitionBy("conv").orderBy("turn", "role", "text")
     every = W.partitionBy("conv")
@@ -98,10 +124,11 @@ def windows(turns: DataFrame, budget: int = 512, history: int = 96, conv_col: st
     t = t.withColumn("cap", F.greatest(F.lit(budget - history) - F.max(F.when(F.col("sys"), F.col("n")).otherwise(0)).over(every), F.lit(budget // 4)))
     t = t.withColumn("own", F.when(F.col("sys"), 0).otherwise(F.col("n")))
     t = t.withColumn("end", F.sum("own").over(whole.rowsBetween(W.unboundedPreceding, 0)))
-    t = t.withColumn("cell", F.floor((F.col("end") - F.col("own")) * 2 / F.col("cap"))).withColumn("long", ~F.col("sys") & (F.col("own") * 2 > F.col("cap")))
-    before = lambda c: F.lag(c).over(whole)
-    new = F.when(F.col("sys"), 0).when(F.coalesce(before("sys"), F.lit(True)), 0).when((F.col("cell") != before("cell")) | F.col("long") | before("long"), 1).otherwise(0)
-    t = t.withColumn("new", new).withColumn("window", F.sum("new").over(whole.rowsBetween(W.unboundedPreceding, 0)).cast("bigint"))
+    # Numbers only, one row per conversation: the places at which windows after the first begin.
+    sums = F.sort_array(F.collect_list(F.struct("place", "own", "end")))
+    per = t.groupBy("conv").agg(sums.alias("sums"), F.max("cap").alias("cap"))
+    firsts = per.select(F.col("conv").alias("conv_"), _firsts(F.col("sums"), F.col("cap")).alias("firsts"))
+    t = t.join(firsts, F.col("conv").eqNullSafe(F.col("conv_"))).withColumn("window", _rank(F.col("firsts"), F.col("place"))).drop("conv_", "firsts")
     own = W.partitionBy("conv", "window")
     t = t.withColumn("window_end", F.max("end").over(own)).withColumn("last", F.max("window").over(every))
     again = ~F.col("sys") & (F.col("window") < F.col("last")) & (F.col("window_end") - F.col("end") + F.col("own") <= history)
@@ -185,16 +212,17 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RE2 = r"[<\[]\\*(?:" + _RESTS.replace("\\<", "<").replace("\\>", ">").replace("\\/", "/") + ")"
 
 ORACLE = rf"""
-WITH src AS (
+WITH RECURSIVE src AS (
   SELECT CAST(conv_id AS BIGINT) AS conv, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
 a AS (SELECT *, row_number() OVER w AS place, (strlen(text) + 3) // 4 + 4 AS n FROM src WINDOW w AS (PARTITION BY conv ORDER BY turn NULLS FIRST, role, text)),
 b AS (SELECT *, place = 1 AND role = 'system' AS sys FROM a),
 c AS (SELECT *, greatest(512 - 96 - max(CASE WHEN sys THEN n ELSE 0 END) OVER (PARTITION BY conv), 128) AS cap, CASE WHEN sys THEN 0 ELSE n END AS own FROM b),
-d AS (SELECT *, CAST(sum(own) OVER (PARTITION BY conv ORDER BY place) AS BIGINT) AS stop FROM c),
-e AS (SELECT *, ((stop - own) * 2) // cap AS cell, NOT sys AND own * 2 > cap AS long FROM d),
-f AS (SELECT *, CASE WHEN sys THEN 0 WHEN coalesce(lag(sys) OVER w, true) THEN 0 WHEN cell <> lag(cell) OVER w OR long OR lag(long) OVER w THEN 1 ELSE 0 END AS new FROM e WINDOW w AS (PARTITION BY conv ORDER BY place)),
-g AS (SELECT *, sum(new) OVER (PARTITION BY conv ORDER BY place) AS win FROM f),
+d AS MATERIALIZED (SELECT *, CAST(sum(own) OVER (PARTITION BY conv ORDER BY place) AS BIGINT) AS stop FROM c),
+f AS (SELECT conv, place, CAST(0 AS BIGINT) AS base, CAST(0 AS BIGINT) AS win FROM d WHERE place = 1
+  UNION ALL SELECT d.conv, d.place, CASE WHEN d.stop - f.base > d.cap AND d.stop - d.own > f.base THEN d.stop - d.own ELSE f.base END,
+    f.win + CAST(d.stop - f.base > d.cap AND d.stop - d.own > f.base AS INTEGER) FROM f JOIN d ON d.conv = f.conv AND d.place = f.place + 1),
+g AS (SELECT d.*, f.win FROM d JOIN f ON f.conv = d.conv AND f.place = d.place),
 h AS (SELECT *, max(stop) OVER (PARTITION BY conv, win) AS win_end, max(win) OVER (PARTITION BY conv) AS last FROM g),
 k AS (SELECT *, CASE WHEN sys THEN last + 1 WHEN win < last AND win_end - stop + own <= 96 THEN 2 ELSE 1 END AS times,
   length(role) + length(text) + len(regexp_extract_all(text, '{_RE2}')) + {len(START) + len(END) + 2} AS chars FROM h)
