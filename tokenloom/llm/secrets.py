@@ -3,9 +3,10 @@
 Beside the three fixed patterns, runs of encoded-looking characters are tested for what
 a random key must look like in its inferred encoding: uniform use of the alphabet
 (chi-squared), as many runs above and below the alphabet's middle as chance gives, and no
-correlation between neighbours.  The tests' p-values are combined, and the candidates that
-are not random are told from the others by false-discovery control within strata of
-encoding and length; those that remain are reported.
+correlation between neighbours.  The tests' p-values are combined.  Random keys have
+p-values that are uniform, and other text has ones near 0, so the p-values well above 0
+tell how many keys there are in a stratum of encoding and length; what is reported below
+them is cut where the share of false ones among all reported would pass the level.
 """
 
 from __future__ import annotations
@@ -152,29 +153,52 @@ def _worth(m: Column) -> Column:
     return m.rlike("[0-9]") & m.rlike("[A-Za-z]")
 
 
-def thresholds(docs: DataFrame, text_col: str = "text", level: float = 0.05) -> dict[str, int]:
-    """For each stratum the least bin whose candidates are not random, at this false-discovery level.
+#: p-values in bins below this one are taken to be those of keys; strata of fewer candidates go by their encoding.
+_KEYS_BIN, _FEW = 14, 100
 
-    Benjamini and Hochberg's rule over the counts of p-value bins, of which a stratum has
-    a fixed number; all candidates of the table are counted.
+
+def cut(bins: list[tuple[int, int]], level: float, min_p: float) -> int:
+    """The bin from which candidates aren't reported, for (bin, count) of a stratum's p-values.
+
+    Among p-values above q, the part 1 - q of all keys lies; so n above q stand for n / (1 - q)
+    keys.  Reporting all above t, the keys among them are expected to be that by 1 - t, and the
+    others are false.  The least t >= min_p whose false share is at most the level, but for one
+    standard error of the number of keys, is taken; at t = q it always is.
+    """
+    q = 10 ** (-_KEYS_BIN / _STEPS)
+    above = lambda b: sum(n for x, n in bins if x < b)
+    keys = above(_KEYS_BIN) / (1 - q)
+    error = math.sqrt(keys * q / (1 - q))
+    for b in range(int(-math.log10(min_p) * _STEPS + 1e-9), _KEYS_BIN, -1):
+        n = above(b)
+        if n - keys * (1 - 10 ** (-b / _STEPS)) <= level * n + error:
+            return b
+    return _KEYS_BIN
+
+
+def thresholds(docs: DataFrame, text_col: str = "text", level: float = 0.05, min_p: float = 0.01) -> dict[str, int]:
+    """For each stratum the bin of p-values from which its candidates aren't reported; see `cut`.
+
+    Strata are encodings and doublings of length; those of few candidates go by all lengths of
+    their encoding together.  Only counts by stratum and bin are collected, of which there is a
+    fixed number; all candidates of the table are counted.
     """
     each = docs.select(F.explode(_candidates(F.coalesce(F.col(text_col), F.lit("")))).alias("m")).select(battery(F.col("m")).alias("t")).where("t.encoding IS NOT NULL")
     counts = each.groupBy(_stratum(F.col("t")).alias("s"), _bin(F.col("t")).alias("b")).count().collect()
-    out: dict[str, int] = {}
-    by: dict[str, list[tuple[int, int]]] = {}
+    by: dict[str, dict[int, int]] = {}
     for r in counts:
-        by.setdefault(r["s"], []).append((r["b"], r["count"]))
-    for s, bins in by.items():
-        total, seen = sum(n for _, n in bins), 0
-        for b, n in sorted(bins, reverse=True):
-            seen += n
-            if 10 ** (-b / _STEPS) <= level * seen / total:  # a bin's greatest p-value stands for all in it
-                out[s] = b
-    return out
+        for s in (r["s"], r["s"].split("/")[0]):
+            own = by.setdefault(s, {})
+            own[r["b"]] = own.get(r["b"], 0) + r["count"]
+    enough = lambda s: s if sum(by[s].values()) >= _FEW else s.split("/")[0]
+    return {s: cut(sorted(by[enough(s)].items()), level, min_p) for s in by if "/" in s}
 
 
 def add_spans(docs: DataFrame, limits: dict[str, int], text_col: str = "text", min_p: float = 0.01) -> DataFrame:
-    """docs with the columns __base__ and __spans__: (start, end, kind) by start, then kind."""
+    """docs with the columns __base__ and __spans__: (start, end, kind) by start, then kind.
+
+    Columns of docs named like the working ones (__t__, __w0__, __m0__ to __m3__, __p0__ to __p3__) are lost.
+    """
     t = F.coalesce(F.col("__t__"), F.lit(""))
     df = docs.withColumn("__t__", F.col(text_col))
     whole = lambda pattern: F.transform(F.regexp_extract_all(t, F.lit(pattern), 0), lambda m: F.struct(m.alias("whole"), m.alias("value")))
@@ -207,13 +231,14 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Places are code points, ends exclusive.  All spans of the patterns assign, access and
     hex are in; "random" spans are runs of encoded-looking characters of 24 and more with
     a digit and a letter, which overlap none of them and pass the battery: combined
-    p-value min_p or more, and not among the non-random of their stratum at `level`.
+    p-value min_p or more, and above the cut that keeps the false ones among a stratum's
+    reported spans at `level` (see `cut`).
 
     Null and empty texts have none; repeated rows each get their own; null ids stay null;
     an empty table has no rows and no thresholds.  Other columns are ignored.
     """
     df = docs.select(F.col(id_col), F.col(text_col).alias("__text__"))
-    found = add_spans(df, thresholds(docs, text_col, level), "__text__", min_p)
+    found = add_spans(df, thresholds(docs, text_col, level, min_p), "__text__", min_p)
     name = F.array(*(F.lit(k) for k in KINDS))
     return found.select(id_col, F.transform("__spans__", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.element_at(name, s["kind"] + 1).alias("kind"))).alias("spans"))
 
@@ -233,12 +258,19 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str, mark: str = "[SECRET]") -> DataFrame:
-    """Pipeline stage: every secret span is replaced by a mark; rows and columns stay, n_chars follows the text."""
-    found = add_spans(docs, thresholds(docs))
+    """Pipeline stage: every secret span is replaced by a mark; rows and columns stay, n_chars follows the text.
+
+    Overlapping spans share a mark.  Null texts stay null, as does their n_chars; empty texts
+    and texts without a secret stay as they are; repeated rows are treated alike; ids aren't
+    looked at; columns of any name stay as they are.
+    """
+    names = docs.columns
+    row = docs.select(F.struct(*(docs[f"`{c}`"] for c in names)).alias("row"), F.col("text"))
+    found = add_spans(row, thresholds(docs))
     state = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
     text = F.col("text")
     part = lambda a, z: F.substring(text, (a + 1).cast("int"), (z - a).cast("int"))
-    cut = F.aggregate(
+    cut_ = F.aggregate(
         "__spans__",
         state,
         lambda a, s: F.struct(
@@ -247,8 +279,10 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str, mark: str = "[SECR
         ),
         lambda a: F.concat(a["out"], part(a["at"], F.length(text).cast("bigint"))),
     )
-    clean = found.withColumn("text", F.when(F.size("__spans__") > 0, cut).otherwise(text)).drop("__base__", "__spans__")
-    return clean.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else clean
+    text_ = F.when(F.size("__spans__") > 0, cut_).otherwise(text)
+    own = found.select("row", text_.alias("text"))
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in names else None}
+    return own.select(*((new[c] if new.get(c) is not None else F.col(f"row.`{c}`")).alias(c) for c in names))
 
 
 def brute_force(text: str | None) -> list[tuple[int, str, int]]:
