@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.oracle import connect, same
-from tokenloom.llm import chat, decontam, lines, mixing, neardup, quality, registry, secrets, tokens
+from tokenloom.llm import chat, decontam, lines, mixing, neardup, pii, quality, registry, secrets, tokens
 from tokenloom.llm.common import table
 
 
@@ -128,6 +128,41 @@ def test_false_secrets_stay_below_the_level():
         assert not keys or shown[:keys].mean() > 0.75
 
 
+# Personal data.
+
+
+def test_reliabilities_are_those_the_votes_were_drawn_with():
+    """Votes drawn from known shares: posteriors match the truth that drew them, and no labeler is believed beyond its share."""
+    r = random.Random(11)
+    yes, no, truth = (0.9, 0.8, 0.85, 0.95, 0.7), (0.2, 0.3, 0.1, 0.05, 0.4), {}
+    for _ in range(40_000):
+        z = r.random() < 0.4
+        v = "".join("0" if r.random() < 0.2 else "+" if r.random() < (yes if z else no)[k] else "-" for k in range(5))
+        n = truth.setdefault(v, [0, 0])
+        n[z] += 1
+    post = pii.expectation_maximisation([("phone", v, a + b) for v, (a, b) in truth.items()], rounds=300)
+
+    def exact(v):
+        odds = math.log(0.4 / 0.6) + sum(math.log(yes[k] / no[k]) if c == "+" else math.log((1 - yes[k]) / (1 - no[k])) if c == "-" else 0 for k, c in enumerate(v))
+        return 1 / (1 + math.exp(-odds))
+
+    n = sum(a + b for a, b in truth.values())
+    assert sum((a + b) * abs(post["phone", v] - exact(v)) for v, (a, b) in truth.items()) / n < 0.02
+
+
+def test_gazetteers_propose_spans():
+    t = "write to jane.doe at mail dot example dot org, call 0049 30 1234 5678, card 3056 930902 5904, host fe80::1ff:fe23:4567:890a; the cat at home dot dot"
+    got = [(k, t[s:e]) for k, s, e in pii.gazetteer_spans(t)]
+    assert got == [("email", "jane.doe at mail dot example dot org"), ("phone", "0049 30 1234 5678"), ("card", "3056 930902 5904"), ("ip", "fe80::1ff:fe23:4567:890a")]
+    assert pii.apart([("a", 0, 5), ("b", 3, 9), ("c", 12, 15), ("d", 5, 6)], [("x", 13, 20), ("y", 5, 6)]) == [("a", 0, 5)]
+
+
+def test_classifier_separates_by_what_stands_around(spark):
+    rows = [(i, f"phone 415-555-{1000 + i} please") for i in range(300)] + [(1000 + i, f"serial 415-555-{1000 + i} part") for i in range(300)] + [(2000, "my 415-555-9999 is new")]
+    got = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in pii.find_pii(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert sum(got[i] == ["phone"] for i in range(300)) > 290 and not any(got[1000 + i] for i in range(300))
+
+
 # Labels.
 
 

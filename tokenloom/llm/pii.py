@@ -1,10 +1,12 @@
 """Personal data by weak supervision.
 
-Labelers of several kinds (pattern, checksum, gazetteer, context, border) vote on every
-candidate span.  Expectation-maximisation over the counts of all vote patterns, of which
-there is a bounded number, estimates how reliable each labeler is for each kind; the
-posteriors then train a logistic span classifier, which decides on the candidates that
-the strict patterns alone don't settle.
+Candidates come from strict patterns, looser ones, and gazetteers of top-level domains,
+dial codes, card prefixes and address blocks.  Labelers of several kinds (pattern,
+checksum, gazetteer, context, border) vote on every candidate span.
+Expectation-maximisation over the counts of all vote patterns, of which there is a bounded
+number, estimates how reliable each labeler is for each kind; the posteriors then train a
+logistic span classifier on the votes, the span's layout and the words and characters
+around it, which decides on the candidates that the strict patterns alone don't settle.
 """
 
 from __future__ import annotations
@@ -12,6 +14,8 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import zlib
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +38,7 @@ _CONTEXT = {
 }
 _AGAINST = re.compile(r"\b(?:version|ver|v|release|isbn|issn|section|chapter|invoice|order|part|model|serial)\b[^a-z]*$")
 
-_ANY = re.compile(rb"[0-9@]|[\(\[]at[\)\]]")
+_ANY = re.compile(rb"[0-9@]|[\(\[]at[\)\]]| (?i:dot) |::")
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # The digit before a match is excluded as a longer run would have begun there; so each run is read once.
@@ -46,6 +50,12 @@ _MAYBE_PHONE = re.compile(r"(?<![0-9A-Za-z+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[
 _MAYBE_CARD = re.compile(r"(?<![0-9A-Za-z.-])3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5}(?![0-9])")
 _MAYBE_IP = re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])")
 
+# First digits of 14-digit cards, first groups of assigned IPv6 blocks.
+_CARD14 = re.compile(r"(?<![0-9A-Za-z.-])(?:30[0-5]|36|38|39)[0-9]{1,2}[ -]?[0-9]{6}[ -]?[0-9]{4}(?![0-9])")
+_IPV6 = re.compile(r"(?<![0-9A-Za-z:])(?:200[0-9A-Fa-f]|2[46]0[0-9A-Fa-f]|2[aA]0[0-9A-Fa-f]|[fF][cdCD][0-9A-Fa-f]{2}|[fF][eE]80)(?::[0-9A-Fa-f]{1,4}){0,6}::?(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?(?![0-9A-Za-z:])")
+_SPELT = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}} at [A-Za-z0-9-]{{1,63}}(?: dot [A-Za-z0-9-]{{1,63}}){{0,3}} dot (?:{'|'.join(sorted(_TLDS))})(?![A-Za-z0-9])", re.IGNORECASE)
+_TRUNK = re.compile(rf"(?<![0-9A-Za-z+.-])00 ?(?:{'|'.join(_DIAL)})[ -]?(?:\([0-9]{{1,4}}\)[ -]?)?[0-9]{{2,4}}(?:[ -][0-9]{{2,4}}){{1,4}}(?![0-9])")
+
 
 def _luhn(digits: str) -> bool:
     total = 0
@@ -88,6 +98,29 @@ def loose_spans(t: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def gazetteer_spans(t: str) -> list[tuple[str, int, int]]:
+    """Candidates that only their listed parts give away: spelt-out domains, dial codes, card prefixes, address blocks."""
+    out = [("email", *m.span()) for m in _SPELT.finditer(t)] if " dot " in t.lower() else []
+    out += [("phone", *m.span()) for m in _TRUNK.finditer(t)] if "00" in t else []
+    out += [("card", *m.span()) for m in _CARD14.finditer(t) if len(_digits(m.group())) == 14]
+    out += [("ip", *m.span()) for m in _IPV6.finditer(t) if "::" in m.group()] if "::" in t else []
+    return out
+
+
+def apart(spans: list[tuple[str, int, int]], taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Spans, in order, that overlap neither the taken ones nor one another."""
+    ends, last = [], 0
+    for b, e in sorted((b, e) for _, b, e in taken):
+        last = max(last, e)
+        ends.append((b, last))
+    out: list[tuple[str, int, int]] = []
+    for k, b, e in sorted(spans, key=lambda x: (x[1], -x[2], x[0])):
+        at = bisect_left(ends, (e,)) - 1  # the last taken one that begins before e; ends never fall
+        if (at < 0 or ends[at][1] <= b) and (not out or out[-1][2] <= b):
+            out.append((k, b, e))
+    return out
+
+
 def votes(t: str, kind: str, start: int, end: int, strict: bool) -> str:
     """One of + 0 - for each labeler."""
     s, d = t[start:end], _digits(t[start:end])
@@ -106,17 +139,30 @@ def votes(t: str, kind: str, start: int, end: int, strict: bool) -> str:
         gazetteer = "+" if d[0] in "3456" else "0"
     else:
         checksum = "-" if len(set(d)) < 3 else "+" if len(d) >= 10 else "0"
-        gazetteer = "+" if s[0] == "+" and d.startswith(_DIAL) else "0"
+        gazetteer = "+" if s[0] == "+" and d.startswith(_DIAL) or s.startswith("00") and d[2:].startswith(_DIAL) else "0"
     before = t[max(0, start - 32) : start].lower()
     context = "-" if _AGAINST.search(before) else "+" if _CONTEXT[kind].search(before) else "0"
     border = "-" if (start and t[start - 1].isalnum()) or (end < len(t) and t[end].isalnum()) else "+"
     return ("+" if strict else "0") + checksum + gazetteer + context + border
 
 
-def shape(t: str, start: int, end: int) -> str:
-    """Coarse form of a span: its length and how many kinds of characters stand between its letters and digits."""
+def _char(t: str, at: int) -> str:
+    """Class of the character at a place: edge, blank, letter, digit, or itself if ASCII."""
+    if not 0 <= at < len(t):
+        return "edge"
+    c = t[at]
+    return "blank" if c.isspace() else "letter" if c.isalpha() else "digit" if c.isdigit() else c if c < "\x7f" else "other"
+
+
+def features(t: str, kind: str, start: int, end: int, v: str) -> list[str]:
+    """What the classifier sees of a span: votes, length, layout, the characters at its borders, and the word before it in 256 buckets."""
     s = t[start:end]
-    return f"{min((end - start) // 4, 9)}{min(len({c for c in s if not c.isalnum()}), 4)}"
+    layout = re.sub(r"[0-9]+", lambda m: str(min(len(m.group()), 9)), re.sub(r"[^\W0-9_]+", "a", s))[:16]
+    word = re.findall(r"\w+", t[max(0, start - 32) : start].lower())[-1:]
+    own = [f"{name}{c}" for name, c in zip(LABELERS, v)]
+    own += [f"length{min((end - start) // 4, 9)}", f"marks{min(len({c for c in s if not c.isalnum()}), 4)}", f"layout:{layout}" if kind != "email" else "layout"]
+    own += [f"before:{_char(t, start - 1)}", f"after:{_char(t, end)}", f"word:{zlib.crc32(word[0].encode()) % 256 if word else 'none'}"]
+    return ["bias", kind, *(f"{kind}:{x}" for x in own)]
 
 
 # Starting shares of votes for, by labeler, in true and in false spans.
@@ -147,45 +193,41 @@ def expectation_maximisation(patterns: list[tuple[str, str, int]], rounds: int =
     return out
 
 
-def _columns(kind: str, v: str, form: str) -> list[str]:
-    return ["bias", f"{kind}", *(f"{kind}:{name}{c}" for name, c in zip(LABELERS, v)), f"{kind}:length{form[0]}", f"{kind}:marks{form[1]}"]
-
-
-def train_classifier(counts: list[tuple[str, str, str, int]], posterior: dict, rounds: int = 400, rate: float = 2.0) -> dict[str, float]:
-    """Logistic weights over span features, learnt from posteriors; counts: (kind, votes, shape, count)."""
+def train_classifier(counts: list[tuple[tuple[str, ...], float, int]], rounds: int = 400, rate: float = 2.0) -> dict[str, float]:
+    """Logistic weights over span features, learnt from posteriors; counts: (features, posterior, count)."""
     counts = sorted(counts)
-    names = sorted({c for k, v, s, _ in counts for c in _columns(k, v, s)})
+    names = sorted({c for f, _, _ in counts for c in f})
     at = {c: i for i, c in enumerate(names)}
-    x = np.zeros((len(counts), len(names)))
-    for i, (k, v, s, _) in enumerate(counts):
-        x[i, [at[c] for c in _columns(k, v, s)]] = 1
-    y = np.array([posterior[k, v] for k, v, _, _ in counts])
+    col = np.array([at[c] for f, _, _ in counts for c in f], np.int64)
+    row = np.repeat(np.arange(len(counts)), [len(f) for f, _, _ in counts])
+    y = np.array([p for _, p, _ in counts])
     n = np.log1p(np.array([c for *_, c in counts], float))  # rare patterns keep a say
     w = np.zeros(len(names))
     for _ in range(rounds if len(counts) else 0):
-        w -= rate * (x.T @ ((1 / (1 + np.exp(-x @ w)) - y) * n) / n.sum() + 1e-4 * w)
+        part = (1 / (1 + np.exp(-np.clip(np.bincount(row, w[col], len(y)), -50, 50))) - y) * n / n.sum()
+        w -= rate * (np.bincount(col, part[row], len(names)) + 1e-4 * w)
     return dict(zip(names, w.tolist()))
 
 
-_SPAN = "array<struct<kind:string,start:bigint,end:bigint,strict:boolean,votes:string,shape:string>>"
+_SPAN = "array<struct<kind:string,start:bigint,end:bigint,strict:boolean,votes:string,features:array<string>>>"
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col and spans: every strict and loose candidate with its votes and shape."""
-    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("strict", pa.bool_()), ("votes", pa.string()), ("shape", pa.string())]))
+    """id_col and spans: every strict, loose and gazetteer candidate with its votes and features."""
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("strict", pa.bool_()), ("votes", pa.string()), ("features", pa.list_(pa.string()))]))
 
     def of(raw: bytes | None) -> list[tuple]:
         if not raw or not _ANY.search(raw):
             return []
         t = raw.decode("utf-8", "replace")
         strict = strict_spans(t)
-        more = [(k, s, e) for k, s, e in loose_spans(t) if not any(s < f and b < e for _, b, f in strict)]
-        return [(k, s, e, own, votes(t, k, s, e, own), shape(t, s, e)) for own, spans in ((True, strict), (False, more)) for k, s, e in spans]
+        more = apart(loose_spans(t) + gazetteer_spans(t), strict)
+        return [(k, s, e, own, v := votes(t, k, s, e, own), features(t, k, s, e, v)) for own, spans in ((True, strict), (False, more)) for k, s, e in spans]
 
     def run(it):
         for rb in it:
             for lo, hi, texts in slices(rb, 1, 4_000_000):
-                spans = pa.array([[dict(zip(("kind", "start", "end", "strict", "votes", "shape"), x)) for x in of(raw)] for raw in texts], type=kind)
+                spans = pa.array([[dict(zip(("kind", "start", "end", "strict", "votes", "features"), x)) for x in of(raw)] for raw in texts], type=kind)
                 yield pa.RecordBatch.from_arrays([rb.column(0).slice(lo, hi - lo), spans], [id_col, "spans"])
         trimmed()
 
@@ -194,25 +236,30 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return source.mapInArrow(run, type(schema)([source.schema[0], schema[0]]))
 
 
-def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_score: float = 0.9) -> DataFrame:
+def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_score: float = 0.9, max_train: int = 20_000) -> DataFrame:
     """Personal data in each row: id_col and spans (kind, start, end, strict, score), by kind as in KINDS, then start.
 
-    Places are code points, ends exclusive.  Every span of the strict patterns stays;
-    a loose candidate is added where the span classifier gives it min_score, unless it
-    overlaps a strict span.  Null and empty texts have none; repeated rows each get their
-    own; null ids stay null; without any candidate nothing is trained; other columns are
-    ignored.  What is collected is one count per pattern of votes and shape, of which
-    there are at most 4 * 3**5 * 50.
+    Places are code points, ends exclusive.  Every span of the strict patterns stays; any other
+    candidate that overlaps none of them is added where the span classifier gives it min_score.
+    Null and empty texts have none; repeated rows each get their own; null ids stay null;
+    without any candidate nothing is trained; other columns are ignored.
+
+    Reliabilities come from the counts of all candidates' votes, at most 4 * 3**5 of them; the
+    classifier learns from at most max_train candidates, those of the lowest hashes, and is
+    applied to all.
     """
     found = stored(candidates(docs, id_col, text_col), "pii")
-    counts = found.select(F.explode("spans").alias("s")).groupBy("s.kind", "s.votes", "s.shape").count()
-    rows = [(r["kind"], r["votes"], r["shape"], r["count"]) for r in counts.collect()]
-    posterior = expectation_maximisation(_summed(rows))
-    weights = train_classifier(rows, posterior)
-    keys = sorted((k, v, s) for k, v, s, _ in rows)
-    scores = {k: 1 / (1 + np.exp(-sum(weights[c] for c in _columns(*k)))) for k in keys}
-    known = F.from_json(F.lit(json.dumps({"|".join(k): float(p) for k, p in scores.items()})), "map<string,double>")
-    scored = F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["strict"].alias("strict"), F.element_at(known, F.concat_ws("|", s["kind"], s["votes"], s["shape"])).alias("score")))
+    each = found.select(F.explode("spans").alias("s"), F.xxhash64(F.col(id_col), F.lit(31)).alias("h"))
+    votes_ = each.groupBy("s.kind", "s.votes").count().collect()
+    posterior = expectation_maximisation([(r["kind"], r["votes"], r["count"]) for r in votes_])
+    chosen = each.select("s.kind", "s.votes", "s.features", "h", F.col("s.start").alias("at")).orderBy("h", "kind", "at", "votes").limit(max_train).collect()
+    seen: dict[tuple[tuple[str, ...], float], int] = {}
+    for r in chosen:
+        key = (tuple(r["features"]), posterior[r["kind"], r["votes"]])
+        seen[key] = seen.get(key, 0) + 1
+    weights = F.from_json(F.lit(json.dumps(train_classifier([(f, p, n) for (f, p), n in seen.items()]))), "map<string,double>")
+    sum_of = lambda f: F.aggregate(f, F.lit(0.0), lambda a, c: a + F.coalesce(F.element_at(weights, c), F.lit(0.0)))
+    scored = F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["strict"].alias("strict"), (1 / (1 + F.exp(-sum_of(s["features"])))).alias("score")))
     out = found.select(id_col, scored.alias("spans"))
     kept = F.filter("spans", lambda s: s["strict"] | (s["score"] >= min_score))
     rank = F.create_map(*(F.lit(x) for k, kind in enumerate(KINDS) for x in (kind, k)))
@@ -220,13 +267,6 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     return out.select(id_col, F.transform(ordered, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["strict"].alias("strict"), s["score"].alias("score"))).alias("spans"))
 
 
-def _summed(rows: list[tuple[str, str, str, int]]) -> list[tuple[str, str, int]]:
-    out: dict[tuple[str, str], int] = {}
-    for k, v, _, n in rows:
-        out[k, v] = out.get((k, v), 0) + n
-    return [(k, v, n) for (k, v), n in out.items()]
-
-
 def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
