@@ -58,8 +58,10 @@ def memberships(docs: DataFrame, labels: DataFrame, domain: Column, n_domains: i
 #: Whole numbers of this part of all tokens are summed.
 _UNIT = 1e15
 
-#: Weight of the rates' own distance to 1 beside the distance to the targets.
-_NEAR = 1e-11
+#: Weight of the rates' own distance to 1 beside the distance to the targets.  It makes the
+#: optimum one point and the dual strictly concave, so that targets out of reach take no more
+#: rounds than others; a rate of r is off the plain optimum's condition by this times r.
+_NEAR = 1e-9
 
 #: A round of the start looks at steps with these dampings, times the greatest curvature.
 _DAMPING = (0.0, *(10.0**-k for k in range(10, -1, -1)))
@@ -124,12 +126,14 @@ def fit_rates(rows: DataFrame, targets: tuple[float, ...], rounds: int = 1000, t
     changes a rate by the posterior times a vector that is the same for all documents, and
     the state is a few numbers.
 
-    The start is the solution nearest to rates of 1, max(0, 1 + posterior * mu): mu by Newton
-    steps on the dual, which is concave, damped until the dual still rises at their end; at
-    most `start` of them.  If the targets
-    aren't met there, accelerated projected gradients (step 1 / the curvature's greatest
-    eigenvalue, momentum dropped when it points uphill) go on until no rate moves by more than
-    `tolerance` times that step, which is the optimality condition, or until `rounds` passes
+    Beside it the rates' distance to 1 counts a little (`_NEAR`), so that one point is the
+    optimum.  It is max(0, 1 + posterior * mu), the projection of 1 plus the sum of all steps:
+    mu by steps scaled with the curvature (Newton's on the dual, which is concave), damped
+    until the dual still rises at their end; at most `start` of them.  Where these stop short,
+    accelerated projected gradients (step 1 / the curvature's greatest eigenvalue, momentum
+    dropped when it points uphill) go on until no rate moves by more than `tolerance` times
+    that step.  Both ends are optimality conditions, and `optimal` says whether one holds; at
+    most `rounds` passes go
     over the rows.  Sums over documents are whole numbers of 1e-15 of all tokens, so that the
     order of adding doesn't change a digit.
     """
@@ -174,7 +178,8 @@ def fit_rates(rows: DataFrame, targets: tuple[float, ...], rounds: int = 1000, t
         mu, (left, c, _) = mu + moves[rising[0]], found[rising[0]]
 
     steps: list[tuple[float, list[float]]] = []
-    optimal = bool(np.abs(left).max() <= tolerance)  # posteriors sum to 1, so no gradient is longer
+    # Posteriors sum to 1, so no document's gradient is longer than the greatest number.
+    optimal = bool(np.abs(left).max() <= tolerance or (start and np.abs(left - _NEAR * mu).max() <= tolerance * 1e-2))
     momentum, t, before = 0.0, 1.0, left
     while not optimal and passes < rounds:
         ahead = left + momentum * (left - before)
@@ -216,7 +221,7 @@ def mix(docs: DataFrame, labels: DataFrame, domain: Column | None = None, target
     empty table has no rates.  Other columns are ignored.
     """
     rows = stored(memberships(docs, labels, domain if domain is not None else domain_of(), len(targets), max_train, id_col=id_col, text_col=text_col), "member")
-    return with_rates(rows, fit_rates(rows, targets))
+    return with_rates(rows, fit_rates(rows, targets, rounds=200))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,5 +259,5 @@ def weigh(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     names = kept.columns
     own = kept.select(F.struct(*(kept[f"`{c}`"] for c in names)).alias("row"), member(F.col("text").cast("binary")).alias("m"))
     scored = stored(own.select("row", "m.n_tokens", "m.posterior"), "weigh")
-    rated = with_rates(scored, fit_rates(scored.select("n_tokens", "posterior"), TARGETS))
+    rated = with_rates(scored, fit_rates(scored.select("n_tokens", "posterior"), TARGETS, rounds=200))
     return rated.select(*(F.col(f"row.`{c}`").alias(c) for c in names), "n_tokens", "posterior", "rate", copies(F.col("rate"), F.col("row.doc_id")).alias("copies"))
