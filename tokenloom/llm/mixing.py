@@ -61,7 +61,7 @@ _UNIT = 1e15
 #: Weight of the rates' own distance to 1 beside the distance to the targets.  It makes the
 #: optimum one point and the dual strictly concave, so that targets out of reach take no more
 #: rounds than others; a rate of r is off the plain optimum's condition by this times r.
-_NEAR = 1e-9
+_NEAR = 1e-10
 
 #: A round of the start looks at steps with these dampings, times the greatest curvature.
 _DAMPING = (0.0, *(10.0**-k for k in range(10, -1, -1)))
