@@ -117,7 +117,8 @@ def windows(turns: DataFrame, budget: int = 512, history: int = 96, conv_col: st
     """
     whole = W.partitionBy("conv").orderBy("turn", "role", "text")
     every = W.partitionBy("conv")
-    t = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # As a struct the key is never null, so that one dealing by it serves the join and all windows.
+    t = turns.select(F.struct(F.col(conv_col).alias("c")).alias("conv"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     t = t.withColumn("place", F.row_number().over(whole))
     t = t.withColumn("sys", (F.col("place") == 1) & (F.col("role") == "system")).withColumn("n", tokens(F.col("text")))
     # The system turn is no turn of a span; its size lessens the capacity of all.
@@ -127,15 +128,15 @@ def windows(turns: DataFrame, budget: int = 512, history: int = 96, conv_col: st
     # Numbers only, one row per conversation: the places at which windows after the first begin.
     sums = F.sort_array(F.collect_list(F.struct("place", "own", "end")))
     per = t.groupBy("conv").agg(sums.alias("sums"), F.max("cap").alias("cap"))
-    firsts = per.select(F.col("conv").alias("conv_"), _firsts(F.col("sums"), F.col("cap")).alias("firsts"))
-    t = t.join(firsts, F.col("conv").eqNullSafe(F.col("conv_"))).withColumn("window", _rank(F.col("firsts"), F.col("place"))).drop("conv_", "firsts")
+    firsts = per.select("conv", _firsts(F.col("sums"), F.col("cap")).alias("firsts"))
+    t = t.join(firsts, "conv").withColumn("window", _rank(F.col("firsts"), F.col("place"))).drop("firsts")
     own = W.partitionBy("conv", "window")
     t = t.withColumn("window_end", F.max("end").over(own)).withColumn("last", F.max("window").over(every))
     again = ~F.col("sys") & (F.col("window") < F.col("last")) & (F.col("window_end") - F.col("end") + F.col("own") <= history)
     # One row per window that shows the turn; the first is the one that owns it.
     shown = F.when(F.col("sys"), F.sequence(F.lit(0).cast("bigint"), F.col("last"))).when(again, F.array("window", F.col("window") + 1)).otherwise(F.array("window"))
     t = t.select("conv", "place", escaped_role(F.col("role")).alias("role"), escaped(F.col("text")).alias("text"), "n", F.posexplode(shown).alias("k", "window"))
-    return t.select(F.col("conv").alias(conv_col), "window", "place", "role", "text", F.col("n").alias("n_tokens"), (F.col("k") == 0).alias("target"))
+    return t.select(F.col("conv.c").alias(conv_col), "window", "place", "role", "text", F.col("n").alias("n_tokens"), (F.col("k") == 0).alias("target"))
 
 
 def format_chats(turns: DataFrame, budget: int = 512, history: int = 96, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
