@@ -130,6 +130,21 @@ def test_spectral_finds_planted_groups(spark):
     assert sorted(map(sorted, got.values())) == [list(range(6 * k, 6 * k + 6)) for k in range(3)]
 
 
+def test_spectral_without_a_dense_matrix(spark):
+    df = spark.createDataFrame(planted(3, 12), "x bigint, y bigint, score bigint")
+    lap = spectral.normalised(spectral.affinity(df))
+    m = lap.toPandas().pivot(index="i", columns="j", values="w").fillna(0).to_numpy()
+    vectors, values = spectral.leading(lap, 4)
+    assert np.allclose(values, np.linalg.eigvalsh(m)[::-1][:4], atol=1e-6)
+    v = np.array([r["v"] for r in vectors.orderBy("i").collect()])
+    assert np.abs(m @ v - v * values).max() < 1e-3 and np.allclose(v.T @ v, np.eye(4), atol=1e-6)
+    got = {}
+    for r in spectral.spectral_clusters(df, 6, dense=10).collect():
+        got.setdefault(r["cluster"], []).append((r["rank"], r["read_id"]))
+    assert sorted(sorted(i for _, i in g) for g in got.values()) == [list(range(12 * k, 12 * k + 12)) for k in range(3)]
+    assert all(sorted(k for k, _ in g) == list(range(12)) for g in got.values())
+
+
 def test_bisection_finds_planted_halves(spark):
     df = spark.createDataFrame(planted(2), "x bigint, y bigint, score bigint")
     for narrow in (None, 3):
