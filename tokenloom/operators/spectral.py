@@ -18,7 +18,7 @@ _log = logging.getLogger(__name__)
 #: Vertices up to which a graph is solved densely (one task, eight bytes an entry).
 DENSE_VERTICES = 3000
 
-#: Vertices on which the rotation is learnt; it has dims * (dims - 1) / 2 numbers and turns every vertex.
+#: Vertices on which the rotation is learnt, about; it has dims * (dims - 1) / 2 numbers and turns every vertex.
 ROTATED_VERTICES = 20_000
 
 
@@ -147,14 +147,15 @@ def spectral_clusters(edges: DataFrame, dims: int = 16, dense: int = DENSE_VERTI
 
     Vertices are those of edges.  A graph of up to `dense` vertices is solved in one task,
     a larger one by products of matrix and vectors over the edges; there the rotation is
-    learnt on ROTATED_VERTICES vertices, those of the least hashes, and turns all.
+    learnt on about ROTATED_VERTICES vertices, by a hash, and turns all.
     """
     n = edges.select("x").union(edges.select("y")).distinct().count()
     lap = normalised(affinity(edges))
     if n > dense:
         vectors, values = leading(checkpointed(lap), dims)
-        lowest = vectors.orderBy(F.xxhash64("i"), "i").limit(ROTATED_VERTICES)
-        turn = rotation(np.array([r["v"] for r in lowest.collect()]), values)  # ROTATED_VERTICES rows of dims numbers
+        share = F.pmod(F.xxhash64("i"), F.lit(1 << 53)) / float(1 << 53)
+        some = sorted(vectors.where(share < ROTATED_VERTICES / n).collect())  # about ROTATED_VERTICES rows of dims numbers
+        turn = rotation(np.array([r["v"] for r in some]), values)
         turned = F.array(*(sum((F.col("v")[a] * F.lit(float(c)) for a, c in enumerate(column)), F.lit(0.0)) for column in turn.T))
         at = F.array_position(F.transform(turned, F.abs), F.array_max(F.transform(turned, F.abs))) - 1
         points = vectors.select(at.cast("bigint").alias("cluster"), F.col("i").alias("read_id"), "v")
