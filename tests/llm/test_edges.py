@@ -288,3 +288,12 @@ def test_copies_come_to_the_rates(spark):
 def test_folds_are_those_of_the_contract(spark):
     got = quality.classify(spark.createDataFrame([(i, "x") for i in range(50)], "doc_id bigint, text string"), spark.createDataFrame([(1, 1)], "doc_id bigint, quality int")).collect()
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in got)
+
+
+@pytest.mark.parametrize("wanted", [1, 7, 100])
+def test_lowest_rows_by_leading_bits(spark, wanted):
+    rows = spark.range(3000).select(F.xxhash64("id").alias("h")).union(spark.createDataFrame([(5,)] * 20 + [(-(2**63),)] * 3 + [(2**63 - 1,)], "h bigint"))
+    h = sorted(r["h"] for r in rows.collect())
+    got = sorted(r["h"] for r in pii._lowest(rows, wanted, len(h)).collect())
+    assert got[:wanted] == h[:wanted] and got == h[: len(got)] and len(got) <= 2 * wanted + 20
+    assert pii._lowest(rows, 5000, len(h)).count() == len(h)

@@ -236,6 +236,26 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return source.mapInArrow(run, type(schema)([source.schema[0], schema[0]]))
 
 
+def _lowest(rows: DataFrame, wanted: int, n: int, bits: int = 12) -> DataFrame:
+    """Rows with the `wanted` lowest values of the column h, and few others; n: number of rows.
+
+    The border is narrowed by `bits` leading bits a pass, from counts of the rows by them, so
+    that a sort of what is left takes about `wanted` rows from all tasks together.
+    """
+    fixed, prefix, below = 0, 0, 0  # leading bits that are fixed, their value at the border, rows below it
+    high = F.shiftrightunsigned(F.col("h").bitwiseXOR(F.lit(-(1 << 63))), 4)  # 60 bits, in the order of h
+    while n > 2 * wanted and fixed < 60:
+        fixed += bits
+        lead = F.shiftright(high, 60 - fixed)
+        counts = rows.where(F.shiftright(lead, bits) == prefix).groupBy(lead.alias("lead")).count().collect()  # 2 ** bits rows
+        for r in sorted(counts, key=lambda r: r["lead"]):
+            prefix, n = r["lead"], below + r["count"]
+            if n >= wanted:
+                break
+            below = n
+    return rows.where(F.shiftright(high, 60 - fixed) <= prefix) if fixed else rows
+
+
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_score: float = 0.9, max_train: int = 20_000) -> DataFrame:
     """Personal data in each row: id_col and spans (kind, start, end, strict, score), by kind as in KINDS, then start.
 
@@ -252,7 +272,9 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     each = found.select(F.explode("spans").alias("s"), F.xxhash64(F.col(id_col), F.lit(31)).alias("h"))
     votes_ = each.groupBy("s.kind", "s.votes").count().collect()
     posterior = expectation_maximisation([(r["kind"], r["votes"], r["count"]) for r in votes_])
-    chosen = each.select("s.kind", "s.votes", "s.features", "h", F.col("s.start").alias("at")).orderBy("h", "kind", "at", "votes").limit(max_train).collect()
+    lowest = _lowest(each, max_train, sum(r["count"] for r in votes_))
+    chosen = stored(lowest.select("s.kind", "s.votes", "s.features", "h", F.col("s.start").alias("at")).orderBy("h", "kind", "at", "votes").limit(max_train), "chosen").collect()  # max_train rows
+    chosen.sort(key=lambda r: (r["h"], r["kind"], r["at"], r["votes"]))
     seen: dict[tuple[tuple[str, ...], float], int] = {}
     for r in chosen:
         key = (tuple(r["features"]), posterior[r["kind"], r["votes"]])
