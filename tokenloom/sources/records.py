@@ -167,10 +167,10 @@ def write_tokens(tokens: DataFrame, path: str, mode: str = "error") -> None:
 
 
 def rendered(form: str = "fastx") -> Column:
-    """A record's text: fasta, fastq, or whichever the qualities allow."""
+    """A record's text: fasta, fastq, or whichever the qualities allow (a record without a letter has as many qualities: none, but not null)."""
     fasta = F.concat(F.lit(">"), "header", F.lit("\n"), "sequence")
     fastq = F.concat(F.lit("@"), "header", F.lit("\n"), "sequence", F.lit("\n+\n"), F.coalesce("qualities", F.lit("")))
-    return {"fasta": fasta, "fastq": fastq, "fastx": F.when(F.coalesce("qualities", F.lit("")) == "", fasta).otherwise(fastq)}[form]
+    return {"fasta": fasta, "fastq": fastq, "fastx": F.when(F.col("qualities").isNull() | ((F.col("qualities") == "") & (F.col("sequence") != "")), fasta).otherwise(fastq)}[form]
 
 
 def write_records(records: DataFrame, path: str, form: str = "fastx", mode: str = "error") -> None:
