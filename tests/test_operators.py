@@ -291,3 +291,13 @@ def test_shared_folder_must_be_named_on_a_cluster():
     assert shared_dir(session("yarn", "hdfs:///x/")) == "hdfs:///x" and shared_dir(session("local[4]", None)).startswith("file:")
     with pytest.raises(RuntimeError):
         shared_dir(session("spark://host:7077", None))
+
+
+def test_expression_tokens_across_blocks(spark):
+    from tokenloom.functions.tokens import code_string, expression_tokens
+
+    r = random.Random(6)
+    texts = ["".join(r.choice("ACGT") for _ in range(n)) for n in (0, 6, 7, 63, 64, 65, 69, 70, 71, 134, 500)]
+    rows = expression_tokens(spark.createDataFrame(list(enumerate(texts)), "read_id long, sequence string"), 7).select("read_id", code_string(F.col("code"), 7).alias("t")).collect()
+    for i, s in enumerate(texts):
+        assert sorted(x["t"] for x in rows if x["read_id"] == i) == sorted(min(s[j : j + 7], rc(s[j : j + 7])) for j in range(len(s) - 6))
