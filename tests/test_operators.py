@@ -301,3 +301,38 @@ def test_expression_tokens_across_blocks(spark):
     rows = expression_tokens(spark.createDataFrame(list(enumerate(texts)), "read_id long, sequence string"), 7).select("read_id", code_string(F.col("code"), 7).alias("t")).collect()
     for i, s in enumerate(texts):
         assert sorted(x["t"] for x in rows if x["read_id"] == i) == sorted(min(s[j : j + 7], rc(s[j : j + 7])) for j in range(len(s) - 6))
+
+
+def test_tokens_dealt_by_minimizers_equal_rows_of_tokens(spark):
+    from tokenloom.functions.tokens import tokenise
+    from tokenloom.operators import connections as N
+    from tokenloom.operators import counting as K
+    from tokenloom.operators import shards as S
+
+    r = random.Random(3)
+    word = lambda n, letters="ACGT": "".join(r.choice(letters) for _ in range(n))
+    common = [word(40) for _ in range(12)] + ["A" * 60, "ACACACAC" * 9, rc(word(40))]
+    rows = [(i, i % 3 if i % 7 else None, "".join(r.choice([*common, word(9), word(30, "ACGTN")]) for _ in range(r.randrange(9)))) for i in range(60)]
+    records = spark.createDataFrame([*rows, (60, 1, None), (61, 2, ""), (62, 0, word(18)), (2**40, 0, common[0] * 2), (2**40 + 1, 1, common[0])], "read_id bigint, category_id int, sequence string").repartition(3)
+    sorted_rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    for k in (13, 19, 31):
+        occ = tokenise(records, k)
+        totals = occ.groupBy("token").count()
+        assert sorted_rows(S.totals(records, k)) == sorted_rows(totals)
+        band = totals.where("count BETWEEN 4 AND 12").select("token")
+        own = occ.join(band, "token", "left_semi").select("read_id", "category_id", "pos", "token")
+        assert sorted_rows(own) == sorted_rows(S.band_occurrences(records, k, 4, 12)) != []
+        assert sorted_rows(N.pairs(N.multiplicities(own), min_score=3)) == sorted_rows(S.band_pairs(records, k, 4, 12, min_score=3)) != []
+        counts = K.counts_by_category(records, k)
+        both = counts.join(totals.withColumnRenamed("count", "total"), "token").groupBy("cnt", "total").count()
+        assert sorted_rows(both) == sorted_rows(S.profile(records, k))
+
+
+
+def test_dealt_tokens_take_few_bytes(spark):
+    from tokenloom.operators import shards as S
+
+    r = random.Random(4)
+    records = spark.createDataFrame([(i, 0, "".join(r.choice("ACGT") for _ in range(20_000))) for i in range(100)], "read_id bigint, category_id int, sequence string").coalesce(1)
+    sent = S.dealt(records, 19, ("read_id", "category_id")).selectExpr("sum(length(blob)) AS n").first()["n"]
+    assert sent < 3 * 100 * 20_000
