@@ -372,3 +372,31 @@ def test_overlaps_of_shards_equal_those_of_rows(spark):
     assert len(rows) > 20 and rows == sorted(map(tuple, want.collect()))
     # A record without an id is linked with none.
     assert sorted(x[:3] for x in rows) == sorted(map(tuple, S.band_pairs(df, 15, 2, 9, min_score=5).collect()))
+
+
+def test_bloom_places_of_arrays_are_those_of_columns(spark):
+    from tokenloom.operators import sketches
+
+    r = random.Random(3)
+    tokens = [0, 1, -1, 2**62 - 1, -(2**63)] + [r.randrange(4**19) for _ in range(200)]
+    df = spark.createDataFrame([(t,) for t in tokens], "token bigint")
+    for bits, hashes in ((64, 3), (1 << 20, 7), (4, 2)):
+        want = {x["token"]: x["p"] for x in df.select("token", sketches.bit_positions(F.col("token"), bits, hashes).alias("p")).collect()}
+        got = np.stack(list(sketches.bit_places(np.array(tokens), bits, hashes)), axis=1)
+        assert [want[t] for t in tokens] == got.tolist()
+    words = sketches.bloom(df.limit(60), 1024, 5).localCheckpoint()
+    want = {x["token"]: x["maybe"] for x in sketches.bloom_contains(df, words, 1024, 5).collect()}
+    got = sketches.maybe_in(np.array(tokens), sketches.filter_bytes(words, 1024), 1024, 5)
+    assert [want[t] for t in tokens] == got.tolist() and not got.all() and got.any()
+
+
+def test_counts_of_packed_tokens_are_written_in_order(spark, tmp_path):
+    r = random.Random(8)
+    rows = [(r.randrange(4**6), r.randint(1, 9)) for _ in range(300)]
+    df = spark.createDataFrame(rows, "token bigint, cnt bigint").repartition(5)
+    R.write_counts(df, f"{tmp_path}/packed", k=6, compression="gzip")
+    R.write_counts(df.select(T.unpacked(F.col("token"), 6).alias("kmer"), "cnt"), f"{tmp_path}/strings")
+    lines = lambda p: [x["value"] for f in sorted((tmp_path / p).glob("part-*")) for x in spark.read.text(str(f)).collect()]
+    assert [x.split()[0] for x in lines("packed")] == sorted(x.split()[0] for x in lines("strings")) == [x.split()[0] for x in lines("strings")]
+    assert all(f.suffix == ".gz" for f in (tmp_path / "packed").glob("part-*"))
+    assert sorted(map(tuple, R.read_counts(spark, f"{tmp_path}/packed").collect())) == sorted(map(tuple, R.read_counts(spark, f"{tmp_path}/strings").collect()))

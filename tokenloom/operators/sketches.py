@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +43,55 @@ def bloom_contains(tokens: DataFrame, words: DataFrame, bits: int, hashes: int,
     return tokens.join(hit.groupBy(column).agg(F.min("set").alias("maybe")), column)
 
 
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def _rotated(x: np.ndarray, n: int) -> np.ndarray:
+    return x << np.uint64(n) | x >> np.uint64(64 - n)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ h >> np.uint64(33)) * _P2
+    h = (h ^ h >> np.uint64(29)) * _P3
+    return h ^ h >> np.uint64(32)
+
+
+def _hashed(token: np.ndarray) -> np.ndarray:
+    """What the hash functions of LONG tokens begin with: Spark's xxhash64 over arrays."""
+    h = _rotated(token.view(np.uint64) * _P2, 31) * _P1 ^ np.uint64((42 + 8 + int(_P5)) % 2**64)
+    return _mixed(_rotated(h, 27) * _P1 + _P4)
+
+
+def _place(hashed: np.ndarray, seed: int, bits: int) -> np.ndarray:
+    own = (hashed + np.uint64(int(_P5) + 4)) ^ np.uint64(seed * int(_P1) % 2**64)
+    return np.mod(_mixed(_rotated(own, 23) * _P2 + _P3).view(np.int64), np.int64(bits))
+
+
+def bit_places(token: np.ndarray, bits: int, hashes: int, step: int = 47) -> list[np.ndarray]:
+    """bit_positions of an array of LONG tokens, an array for each hash function."""
+    h = _hashed(token)
+    return [_place(h, i * step, bits) for i in range(hashes)]
+
+
+def filter_bytes(words: DataFrame, bits: int) -> np.ndarray:
+    """The filter's 32-bit words as one array, to be broadcast: bits / 8 bytes on the driver and in each Python worker."""
+    out = np.zeros(bits // 32 + 1, np.uint32)
+    rows = words.select("word", "value").toArrow()
+    out[rows["word"].to_numpy()] = rows["value"].to_numpy().astype(np.uint32)
+    return out
+
+
+def maybe_in(token: np.ndarray, words: np.ndarray, bits: int, hashes: int, step: int = 47) -> np.ndarray:
+    """bloom_contains for an array of tokens: whether all of a token's bits are set."""
+    h, left = _hashed(token), np.arange(len(token))
+    for i in range(hashes):
+        at = _place(h[left], i * step, bits)
+        left = left[(words[at >> 5] >> (at & 31).astype(np.uint32) & np.uint32(1)) != 0]
+    out = np.zeros(len(token), bool)
+    out[left] = True
+    return out
+
+
 def ones(words: DataFrame) -> DataFrame:
     """(ones): bits set."""
     return words.agg(F.coalesce(F.sum(F.bit_count("value")), F.lit(0)).alias("ones"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tokenloom.functions.tokens import canonical, hash_share
+from tokenloom.functions.tokens import canonical, hash_share, unpacked
 
 SCHEMA = "read_id bigint, header string, sequence string, qualities string, category_id int, start bigint, end bigint"
 
@@ -156,9 +156,14 @@ def read_counts(spark: SparkSession, path: str) -> DataFrame:
     return parse_counts(spark.read.text(path))
 
 
-def write_counts(counts: DataFrame, path: str, mode: str = "error") -> None:
-    """Lines `KMER COUNT`, sorted by token over all files."""
-    counts.orderBy("kmer").select(F.concat_ws(" ", "kmer", F.col("cnt").cast("string")).alias("value")).write.mode(mode).text(path)
+def write_counts(counts: DataFrame, path: str, mode: str = "error", k: int | None = None, compression: str = "none") -> None:
+    """Lines `KMER COUNT`, sorted by token over all files.
+
+    k: counts have packed tokens of k bases (token) instead of strings (kmer), in the same order;
+    they are sorted as numbers and become strings only where they are written.
+    """
+    kmer = F.col("kmer") if k is None else unpacked(F.col("token"), k)
+    counts.orderBy("kmer" if k is None else "token").select(F.concat_ws(" ", kmer, F.col("cnt").cast("string")).alias("value")).write.mode(mode).option("compression", compression).text(path)
 
 
 def write_tokens(tokens: DataFrame, path: str, mode: str = "error") -> None:
