@@ -400,3 +400,13 @@ def test_counts_of_packed_tokens_are_written_in_order(spark, tmp_path):
     assert [x.split()[0] for x in lines("packed")] == sorted(x.split()[0] for x in lines("strings")) == [x.split()[0] for x in lines("strings")]
     assert all(f.suffix == ".gz" for f in (tmp_path / "packed").glob("part-*"))
     assert sorted(map(tuple, R.read_counts(spark, f"{tmp_path}/packed").collect())) == sorted(map(tuple, R.read_counts(spark, f"{tmp_path}/strings").collect()))
+
+
+def test_pairs_are_dealt_without_places(spark):
+    from tokenloom.operators import shards as S
+
+    r = random.Random(2)
+    df = spark.createDataFrame([(i, "".join(r.choice("ACGT") for _ in range(20_000))) for i in range(8)], "read_id bigint, sequence string").coalesce(1)
+    size = lambda **x: S.dealt(df, 19, ("read_id",), **x).agg(F.sum(F.length("blob"))).first()[0]
+    # A place takes about a byte and a half of the stretch's nine.
+    assert size(places=False) < 0.85 * size()
