@@ -349,6 +349,7 @@ def test_distinct_tokens_of_several_lengths(spark):
     want = {k: len({min(w, rc(w)) for t in texts if t for i in range(len(t) - k + 1) if "N" not in (w := t[i : i + k])}) for k in ks}
     assert {x["k"]: x["distinct_kmers"] for x in K.distinct_by_k(df, ks).collect()} == want
     assert {x["k"]: x["distinct_kmers"] for x in K.distinct_by_k(df.where("sequence IS NULL"), [11, 13, 15]).collect()} == {11: 0, 13: 0, 15: 0}
+    assert {k: K.distinct_by_k(df, [k]).first()["distinct_kmers"] for k in (13, 15, 31)} == {k: want[k] for k in (13, 15, 31)}
     plan = K.distinct_by_k(df, ks)._jdf.queryExecution().executedPlan().toString()
     # No exchange carries rows of tokens.
     assert "hashpartitioning(token" not in plan and "keys=[token" not in plan
