@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -411,3 +412,44 @@ def test_pairs_are_dealt_without_places(spark):
     size = lambda **x: S.dealt(df, 19, ("read_id",), **x).agg(F.sum(F.length("blob"))).first()[0]
     # A place takes about a byte and a half of the stretch's nine.
     assert size(places=False) < 0.85 * size()
+
+
+def test_pairs_go_to_their_sums_as_differences(spark, monkeypatch):
+    from tokenloom.operators import shards as S
+
+    r = random.Random(3)
+    far = [0, 1, 5, -7, 2**62, -(2**62), 2**62 + 1, *range(1000, 1060)]
+    texts = ["".join(r.choice("ACGT") for _ in range(r.randrange(60))) for _ in range(40)]
+    rows = [(i, "".join(r.sample(texts, 8))) for i in far] + [(None, texts[0])]
+    df = spark.createDataFrame(rows, "read_id bigint, sequence string").repartition(3)
+    want = {}
+    tokens = {i: Counter(min(s[j : j + 19], rc(s[j : j + 19])) for j in range(len(s) - 18)) for i, s in rows}
+    total = sum(tokens.values(), Counter())
+    for n, a in enumerate(sorted(far)):
+        for b in sorted(far)[n + 1 :]:
+            score = sum(m * tokens[b][t] for t, m in tokens[a].items() if t in tokens[b] and 4 <= total[t] <= 12)
+            if score:
+                want[a, b] = score
+    assert len(want) > 100
+    for pairs in (S._PAIRS, 50):  # all pairs at once; many small sends
+        monkeypatch.setattr(S, "_PAIRS", pairs)
+        for least in (1, 20):
+            got = S.band_pairs(df, 19, 4, 12, min_score=least).collect()
+            assert len(got) == len({(x.x, x.y) for x in got})
+            assert {(x.x, x.y): x.score for x in got} == {p: v for p, v in want.items() if v >= least}
+
+    many = spark.createDataFrame([(i, "".join(r.sample(texts, 8))) for i in range(400)], "read_id bigint, sequence string").coalesce(1)
+    monkeypatch.undo()
+    parts = S.dealt_pairs(many, 19, 4, 100).agg(F.sum("n").alias("n"), F.sum("size").alias("raw"), F.sum(F.length("blob")).alias("size")).first()
+    assert parts["raw"] == 24 * parts["n"] and parts["size"] < 8 * parts["n"]
+
+
+def test_packed_pairs_are_read_back():
+    from tokenloom.operators import shards as S
+
+    r = np.random.default_rng(4)
+    ends = np.array([-(2**63) + 1, -3, 0, 0, 1, 2**40, 2**63 - 1])
+    for n in (0, 1, 2, 500):
+        for draw in (lambda: r.integers(0, 9, n), lambda: r.choice(ends, n)):
+            x, y, score = S._summed(draw(), draw(), r.integers(1, 300, n))
+            assert all((a == b).all() for a, b in zip(S._unpacked_pairs(S._packed_pairs(x, y, score)), (x, y, score)))
