@@ -203,6 +203,18 @@ def test_grouping_separates_two_genomes(spark):
     assert purity and all(r["purity"] == 1.0 for r in purity) and sum(r["size"] for r in purity) > 0.8 * records.count()
 
 
+def test_records_of_few_occurrences_make_scaffolds(spark):
+    r = random.Random(5)
+    word = lambda n: "".join(r.choice("ACGT") for _ in range(n))
+    a, b = word(15), word(15)
+    texts = ["".join(w + word(15) for _ in range(n)) for w, n in ((a, 5), (a, 5), (b, 4), (b, 5))]
+    records = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "read_id bigint, category_id int, sequence string")
+    tokens = T.tokenise(records, 15).groupBy("token").count().where("count > 8").select("token")
+    # Five times five occurrences are above 20 though neither record has 20; four times five are not.
+    groups = programs.group_records(records, tokens, 15, programs.Settings(min_size=2, score=20))
+    assert sorted(map(tuple, groups.scaffolds.select("component_id", "read_id").collect())) == [(0, 0), (0, 1)]
+
+
 def test_stream_counts_equal_batch_counts(spark, tmp_path):
     from tokenloom.operators.counting import counts_by_category
     from tokenloom.streaming import counts as S

@@ -92,8 +92,7 @@ def group_records(records: DataFrame, tokens: DataFrame, k: int, settings: Setti
         return Grouping(found, C.at_least(found, settings.min_size))
 
     if settings.score > 0:
-        pivots = N.strong_pivots(occ, settings.score)
-        edges = N.above(N.one_sided(mult, pivots, min_score=settings.score), settings.score)
+        edges = N.above(N.connections(mult, min_score=settings.score), settings.score)
     else:
         edges = N.top_fraction(N.connections(mult), settings.fraction)
     edges = checkpointed(edges)
